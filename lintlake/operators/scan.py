@@ -38,57 +38,44 @@ def _advance(line: Column, col: Column, text: Column) -> tuple[Column, Column]:
     return line + nl, F.when(nl == 0, col + tail).otherwise(tail + 1)
 
 
-def _points(tok: Column, at: Column) -> Column:
-    """Line and column of each (ascending) token index in ``at``.
+def _points() -> str:
+    """SQL over tok and hits: line and column of the start of each hit.
 
-    Each piece of text between two indexes is measured once, then summed up in blocks,
-    so the work grows with the text and not with text x matches.
+    Each piece of text between two hits is measured once, then summed up in blocks, so the
+    work grows with the text and not with text x hits.
     """
-    pieces = F.transform(
-        at,
-        lambda a, k: F.array_join(
-            F.slice(
-                tok,
-                F.coalesce(F.get(at, k - 1), F.lit(0)) + 1,
-                a - F.coalesce(F.get(at, k - 1), F.lit(0)),
-            ),
-            "",
-        ),
-    )
-    steps = F.transform(
-        pieces,
-        lambda p: F.struct(tk.newlines(p).alias("nl"), tk.last_line_bytes(p).alias("tail")),
-    )
-    no_points = F.array().cast(_POINTS)
 
-    def add(s: Column, p: Column) -> Column:
-        line = s.line + p.nl
-        col = F.when(p.nl == 0, s.col + p.tail).otherwise(p.tail + 1)
-        point = F.struct(line.alias("line"), col.alias("col"))
-        return F.struct(
-            line.alias("line"), col.alias("col"), F.array_append(s.out, point).alias("out")
-        )
+    def named(var: str, value: str, body: str) -> str:
+        return f"get(transform(array({value}), {var} -> {body}), 0)"
 
-    def block(s: Column, b: Column) -> Column:
-        start = F.struct(
-            s.cur.line.alias("line"), s.cur.col.alias("col"), no_points.alias("out")
-        )
-        part = F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))
-        return F.struct(
-            F.aggregate(part, start, add).alias("cur"),
-            F.array_append(s.done, s.cur.out).alias("done"),
-        )
-
-    origin = F.struct(
-        F.struct(F.lit(1).alias("line"), F.lit(1).alias("col"), no_points.alias("out")).alias(
-            "cur"
-        ),
-        F.array().cast(f"array<{_POINTS}>").alias("done"),
+    before = "coalesce(get(a, k - 1), 0)"
+    pieces = f"transform(a, (x, k) -> array_join(slice(tok, {before} + 1, x - {before}), ''))"
+    lf = "'\\n'"
+    steps = (
+        f"transform(ps, p -> struct(octet_length(p) - octet_length(replace(p, {lf}, '')) as nl, "
+        f"octet_length(substring_index(p, {lf}, -1)) as tail))"
+    )
+    point = "struct(s.line + p.nl as line, if(p.nl = 0, s.col + p.tail, p.tail + 1) as col)"
+    none = f"cast(array() as {_POINTS})"
+    add = (
+        "(s, p) -> struct(s.line + p.nl as line, "
+        "if(p.nl = 0, s.col + p.tail, p.tail + 1) as col, "
+        f"array_append(s.out, {point}) as out)"
+    )
+    start = f"struct(t.cur.line as line, t.cur.col as col, {none} as out)"
+    block = (
+        f"(t, b) -> struct(aggregate(slice(st, b * {_BLOCK} + 1, {_BLOCK}), {start}, {add}) as cur, "
+        "array_append(t.done, t.cur.out) as done)"
+    )
+    origin = (
+        f"struct(struct(1 as line, 1 as col, {none} as out) as cur, "
+        f"cast(array() as array<{_POINTS}>) as done)"
     )
-    blocks = F.sequence(F.lit(0), F.floor(F.size(at) / F.lit(_BLOCK)).cast("int"), F.lit(1))
-    return F.aggregate(
-        blocks, origin, block, lambda s: F.flatten(F.array_append(s.done, s.cur.out))
+    total = (
+        f"aggregate(sequence(0, cast(size(st) div {_BLOCK} as int)), {origin}, {block}, "
+        "t -> flatten(array_append(t.done, t.cur.out)))"
     )
+    return named("a", "hits.at", named("ps", pieces, named("st", steps, total)))
 
 
 def _placed(caps: Column, point: Column) -> Column:
@@ -241,8 +228,7 @@ def facts_of(
         "idx", F.expr(f"slice(sequence(0, size(tok)), {sh.HEAD + 1}, size(tok) - {sh.HEAD + sh.TAIL})")
     )
     matched = read.select(*columns, "language", "tok", _case(lang_col, hits).alias("hits"))
-    points = _points(F.col("tok"), F.col("hits")["at"])
-    placed = matched.select(*columns, "language", "hits", points.alias("points"))
+    placed = matched.select(*columns, "language", "hits", F.expr(_points()).alias("points"))
     # the outer form keeps Spark from testing size(hits) first, which would find all
     # matches twice
     rows = placed.select(
