@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,73 +61,59 @@ class Ingested:
 
 
 def ingest_scans(
-    submissions: DataFrame, api_keys: DataFrame, orgs: DataFrame, repos: DataFrame
+    submissions: DataFrame,
+    api_keys: DataFrame,
+    orgs: DataFrame,
+    repos: DataFrame,
+    store: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Ingested:
     """Judge a batch of submissions and make the rows it adds.
 
     The scan id is made from the submission id, so a retried task or batch gives the same
     rows, and the same commit submitted twice is two scans.  A line number beyond 32 bits
-    sends its document to quarantine.
+    sends its document to quarantine.  All outputs come from the parsed batch: ``store``
+    may persist or write it, so that documents are parsed once.
     """
-    known = with_org(submissions, api_keys)
-    parsed = sarif.parse_sarif(known)
-    wide = F.exists(
-        "log.runs",
-        lambda r: F.exists(
-            r["results"],
-            lambda x: F.coalesce(
-                F.abs(F.get(x["locations"], F.lit(0))["physicalLocation"]["region"]["startLine"])
-                > 2147483647,
-                F.lit(False),
-            ),
-        ),
-    )
-    parsed = parsed.withColumn(
-        "reason", F.coalesce("reason", F.when(wide, F.lit("line number")))
-    )
+    parsed = sarif.parse_sarif(with_org(submissions, api_keys))
+    wide = F.exists("results", lambda x: F.abs(x["line"]) > 2147483647)
+    reason = F.coalesce("reason", F.when(wide, F.lit("line number")))
+    parsed = store(parsed.withColumn("reason", reason))
     good = sarif.accepted(parsed).withColumn("scan_id", F.sha2("submission_id", 256))
     policies = orgs.select(
         F.col("id").alias("org_id"),
         S.parse_policy(F.col("policy_json"))["fail_on_severity"].alias("fail_on_severity"),
     )
-    # A document is judged inside its row: its levels are read from its own runs.
-    severities = F.flatten(
-        F.transform(
-            "log.runs",
-            lambda r: F.transform(
-                r["results"], lambda x: sarif.level_of(x["ruleId"], r["tool"]["driver"]["rules"])
-            ),
+    # a repository that is already there keeps its id
+    there = repos.select("org_id", F.col("github_repo").alias("repo"), F.col("id").alias("old_id"))
+    levels = F.array_distinct("results.severity")
+    scans = (
+        good.select(
+            "scan_id",
+            "org_id",
+            "repo",
+            "commit_sha",
+            "branch",
+            "sarif",
+            "submitted_at",
+            levels.alias("levels"),
+            F.size("results").cast("bigint").alias("findings_count"),
         )
-    )
-    judged = (
-        good.withColumn("severities", severities)
         .join(policies, "org_id")
-        .withColumn("findings_count", F.size("severities").cast("bigint"))
-        .withColumn(
-            "passed",
-            ~F.exists(
-                F.array_distinct("severities"),
-                lambda x: policy.breaks_policy(x, F.col("fail_on_severity")),
-            ),
+        .join(there, ["org_id", "repo"], "left")
+        .select(
+            F.col("scan_id").alias("id"),
+            F.coalesce(
+                F.col("old_id").cast("string"), repo_key(F.col("org_id"), F.col("repo"))
+            ).alias("repo_id"),
+            "org_id",
+            "repo",
+            "commit_sha",
+            "branch",
+            F.col("sarif").alias("sarif_json"),
+            policy.passes(F.col("levels"), F.col("fail_on_severity")).alias("passed"),
+            "findings_count",
+            F.col("submitted_at").alias("created_at"),
         )
-        .withColumn("repo_id", repo_key(F.col("org_id"), F.col("repo")))
-    )
-    # a repository that is already there keeps its id
-    there = repos.select("org_id", F.col("github_repo").alias("repo"), F.col("id").alias("old_id"))
-    judged = judged.join(there, ["org_id", "repo"], "left").withColumn(
-        "repo_id", F.coalesce(F.col("old_id").cast("string"), F.col("repo_id"))
-    )
-    scans = judged.select(
-        F.col("scan_id").alias("id"),
-        "repo_id",
-        "org_id",
-        "repo",
-        "commit_sha",
-        "branch",
-        F.col("sarif").alias("sarif_json"),
-        "passed",
-        "findings_count",
-        F.col("submitted_at").alias("created_at"),
     )
     findings = sarif.findings_of(good, "scan_id", "org_id").select(
         F.concat_ws(

@@ -13,6 +13,11 @@ def breaks_policy(severity: Column, fail_on: Column) -> Column:
     return F.exists(fail_on, lambda x: S.same_ignoring_case(x, severity))
 
 
+def passes(levels: Column, fail_on: Column) -> Column:
+    """No level of a document fails it."""
+    return ~F.exists(levels, lambda x: breaks_policy(x, fail_on))
+
+
 def evaluate(findings: DataFrame, policies: DataFrame) -> DataFrame:
     """(scan_id, passed, findings_count) for every scan in ``policies``.
 

@@ -150,7 +150,7 @@ def _probe(language: str, wanted: Wanted) -> str | None:
 
 def _hits(language: str, wanted: Wanted, needs: frozenset[str]) -> str:
     """SQL over tok and attrs: sorted ARRAY<STRUCT<at, anchor, k, shape, caps>>."""
-    parts = []
+    parts, anchors = [], []
     for (lang, name), wheres in wanted.items():
         if lang != language:
             continue
@@ -160,14 +160,22 @@ def _hits(language: str, wanted: Wanted, needs: frozenset[str]) -> str:
         if all(wheres):
             holds = " or ".join(conditions_hold("m.caps", w) for w in wheres)
             found = f"filter({found}, m -> {holds})"
-        pool = "attrs" if name in sh.ATTRIBUTE_SHAPES else "idx"
+        pool = "attrs"
+        if name not in sh.ATTRIBUTE_SHAPES:
+            pool = "pool"
+            anchors.append(anchor)
         # the anchor is tried before any neighbour is looked at
         parts.append(
             f"flatten(transform(filter({pool}, i -> {sh.begins('i', anchor)} and {test}), "
             f"i -> transform({found}, (m, k) -> struct(m.at as at, i as anchor, k as k, "
             f"{sh.quoted(name)} as shape, m.caps as caps))))"
         )
-    return f"array_sort(concat({', '.join(parts)}))"
+    hits = f"concat({', '.join(parts)})"
+    if anchors:
+        # one look at every token for all shapes; few tokens are left for each of them
+        some = f"filter(idx, i -> {sh.begins('i', _alternatives(anchors))})"
+        hits = sh.let("pool", some, hits)
+    return f"array_sort({hits})"
 
 
 def _case(language: Column, branches: dict[str, Column]) -> Column:

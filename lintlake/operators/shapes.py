@@ -51,7 +51,6 @@ _PREDEFINED_TYPES = "any number boolean string symbol unknown never void object"
 _WORD_END = r"(?![\w$])"
 _VALUE_END = r"[\w$\"'`)\]}]$"
 _MEMBER = r"\.(?!\.)|\?\."
-_OPEN, _CLOSE = r"[(\[{]", r"[)\]}]"
 
 
 @dataclass(frozen=True)
@@ -160,6 +159,14 @@ def let(var: str, value: str, body: str) -> str:
     return f"flatten(transform(array({value}), {var} -> {body}))"
 
 
+def opens(i: str) -> str:
+    return f"(left({tok(i)}, 1) in ('(', '[', '{{'))"
+
+
+def closes(i: str) -> str:
+    return f"(left({tok(i)}, 1) in (')', ']', '}}'))"
+
+
 # --- walks over neighbouring tokens: a short reach first, the rest of the file if needed ---
 
 
@@ -187,30 +194,29 @@ def _walk(start: str, step: int, hit: str, depth: str) -> str:
 
 def opener(i: str) -> str:
     """Index of the innermost bracket open at token i, an empty entry when there is none."""
-    hit = all_of("s.d = 0", begins("j", _OPEN))
-    depth = f"case when {begins('j', _CLOSE)} then s.d + 1 when {begins('j', _OPEN)} then s.d - 1 else s.d end"
+    hit = all_of("s.d = 0", opens("j"))
+    depth = f"case when {closes('j')} then s.d + 1 when {opens('j')} then s.d - 1 else s.d end"
     return _walk(f"{i} - 1", -1, hit, depth)
 
 
 def closer(i: str) -> str:
     """Index of the bracket that closes the one at token i."""
-    hit = all_of("s.d = 1", begins("j", _CLOSE))
-    depth = f"case when {begins('j', _CLOSE)} then s.d - 1 when {begins('j', _OPEN)} then s.d + 1 else s.d end"
+    hit = all_of("s.d = 1", closes("j"))
+    depth = f"case when {closes('j')} then s.d - 1 when {opens('j')} then s.d + 1 else s.d end"
     return _walk(i, 1, hit, depth)
 
 
 def back(i: str, stop: str) -> str:
     """Nearest index before i, outside closed brackets, where ``stop`` or a bracket is."""
-    hit = all_of("s.d = 0", any_of(begins("j", _OPEN), stop))
-    depth = f"case when {begins('j', _CLOSE)} then s.d + 1 when s.d > 0 and {begins('j', _OPEN)} then s.d - 1 else s.d end"
+    hit = all_of("s.d = 0", any_of(opens("j"), stop))
+    depth = f"case when {closes('j')} then s.d + 1 when s.d > 0 and {opens('j')} then s.d - 1 else s.d end"
     return _walk(f"{i} - 1", -1, hit, depth)
 
 
 def forward(i: str, last: str) -> str:
     """First index from i on, outside brackets opened since i, where ``last`` holds."""
-    opens, closes = begins("j", _OPEN), begins("j", _CLOSE)
-    hit = all_of(f"s.d + if({opens}, 1, if({closes}, -1, 0)) <= 0", last)
-    depth = f"s.d + if({opens}, 1, if({closes}, -1, 0))"
+    depth = f"s.d + if({opens('j')}, 1, if({closes('j')}, -1, 0))"
+    hit = all_of(f"{depth} <= 0", last)
     return _walk(i, 1, hit, depth)
 
 
@@ -728,25 +734,25 @@ def _operand_start(i: str) -> str:
     State k says what may come next on the way back: v a value, c a callee or a dot,
     d only a dot, b the inside of brackets, x nothing.
     """
-    opens, closes, dot = begins("j", _OPEN), begins("j", _CLOSE), begins("j", _MEMBER)
+    left, right, dot = opens("j"), closes("j"), begins("j", _MEMBER)
     value_word = all_of(
         begins("j", rf"#?{tk.JS_IDENT}|[\"'`\d]"),
         any_of(_callable("j", "typescript"), word("j", "this", "super")),
     )
     value = "s.k in ('v', 'c')"
-    left = f"(s.d = 1 and {opens})"
+    edge = f"(s.d = 1 and {left})"
     k = (
-        f"case when s.k = 'x' then 'x' when s.d > 0 then if({left}, 'c', s.k) "
-        f"when {value} and {closes} then 'b' when {value} and {value_word} then 'd' "
+        f"case when s.k = 'x' then 'x' when s.d > 0 then if({edge}, 'c', s.k) "
+        f"when {value} and {right} then 'b' when {value} and {value_word} then 'd' "
         f"when {value} and {begins('j', '!(?!=)')} then 'v' "
         f"when s.k in ('c', 'd') and {dot} then 'v' else 'x' end"
     )
     d = (
-        f"case when s.k = 'x' then s.d when (s.d > 0 or {value}) and {closes} then s.d + 1 "
-        f"when s.d > 0 and {opens} then s.d - 1 else s.d end"
+        f"case when s.k = 'x' then s.d when (s.d > 0 or {value}) and {right} then s.d + 1 "
+        f"when s.d > 0 and {left} then s.d - 1 else s.d end"
     )
     p = (
-        f"case when s.k = 'x' then s.p when s.d > 0 then if({left}, j, s.p) "
+        f"case when s.k = 'x' then s.p when s.d > 0 then if({edge}, j, s.p) "
         f"when {value} and {value_word} then j "
         f"when s.k in ('c', 'd') and {word('j', 'new')} then j else s.p end"
     )

@@ -60,11 +60,50 @@ def _reason(doc: Column, raw: Column) -> Column:
     )
 
 
+def _results(log: Column) -> Column:
+    """All results of a document with the level of their rule.
+
+    A rule's level comes from its own run's list: the last entry wins, ``note`` without
+    one.  It is looked up inside the row, so no rule list is copied to each result.
+    """
+
+    def of_run(run: Column, run_no: Column) -> Column:
+        rules = run["tool"]["driver"]["rules"]
+        listed = F.struct(
+            F.reverse(rules["id"]).alias("ids"),
+            F.reverse(rules["defaultConfiguration"]["level"]).alias("levels"),
+        )
+
+        def flat(x: Column, k: Column, own: Column) -> Column:
+            at = F.array_position(own["ids"], x["ruleId"]).cast("int") - 1
+            path, line = S.first_location(x["locations"])
+            return F.struct(
+                run_no.alias("run_no"),
+                k.alias("result_no"),
+                x["ruleId"].alias("rule_id"),
+                F.coalesce(F.get(own["levels"], at), F.lit("note")).alias("severity"),
+                path.alias("file_path"),
+                line.alias("line"),
+                x["message"]["text"].alias("message"),
+            )
+
+        bound = F.transform(
+            F.array(listed), lambda own: F.transform(run["results"], lambda x, k: flat(x, k, own))
+        )
+        return F.flatten(bound)
+
+    return F.flatten(F.transform(log["runs"], of_run))
+
+
 def parse_sarif(docs: DataFrame, column: str = "sarif") -> DataFrame:
-    """Documents with ``log`` (typed) and ``reason`` (null when accepted)."""
-    log = F.from_json(F.col(column), schemas.SARIF, {"mode": "PERMISSIVE"})
-    typed = docs.withColumn("log", log)
-    return typed.withColumn("reason", _reason(F.col("log"), F.col(column)))
+    """Documents with ``results`` (array of findings) and ``reason`` (null when accepted)."""
+    typed = docs.withColumn("log", F.from_json(F.col(column), schemas.SARIF))
+    log, reason = F.col("log"), _reason(F.col("log"), F.col(column))
+    both = F.struct(reason.alias("reason"), _results(log).alias("results"))
+    # one-element explode: a later filter on the reason stays above it, so a document is
+    # not parsed again for the filter
+    judged = typed.select(*docs.columns, F.explode_outer(F.array(both)).alias("p"))
+    return judged.select(*docs.columns, "p.reason", "p.results")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -72,34 +111,10 @@ def accepted(parsed: DataFrame) -> DataFrame:
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("reason").isNotNull()).drop("log")
-
-
-def level_of(rule_id: Column, rules: Column) -> Column:
-    """Level of a rule in its run's own list: the last entry wins, ``note`` without one."""
-    own = F.filter(rules, lambda r: r["id"] == rule_id)
-    level = F.get(own, F.size(own) - 1)["defaultConfiguration"]["level"]
-    return F.coalesce(level, F.lit("note"))
+    return parsed.where(F.col("reason").isNotNull()).drop("results")
 
 
 def findings_of(parsed: DataFrame, *keep: str) -> DataFrame:
     """One row per result of the accepted documents, in all runs."""
-    runs = parsed.select(*keep, F.posexplode("log.runs").alias("run_no", "run"))
-    results = runs.select(
-        *keep,
-        "run_no",
-        F.col("run.tool.driver.rules").alias("rules"),
-        F.posexplode("run.results").alias("result_no", "result"),
-    )
-    path, line = S.first_location(F.col("result.locations"))
-    return results.select(
-        *keep,
-        "run_no",
-        "result_no",
-        F.col("result.ruleId").alias("rule_id"),
-        level_of(F.col("result.ruleId"), F.col("rules")).alias("severity"),
-        path.alias("file_path"),
-        line.alias("line"),
-        S.line_as_int(line).alias("line_number"),
-        F.col("result.message.text").alias("message"),
-    )
+    rows = parsed.select(*keep, F.explode_outer("results").alias("x")).where("x is not null")
+    return rows.select(*keep, "x.*").withColumn("line_number", S.line_as_int(F.col("line")))
