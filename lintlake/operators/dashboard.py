@@ -36,13 +36,16 @@ def findings_per_scan(findings: DataFrame) -> DataFrame:
     return findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings_count"))
 
 
-def latest_scan_counts(scans: DataFrame, findings: DataFrame) -> DataFrame:
+def latest_scan_counts(scans: DataFrame, findings: DataFrame, few: bool = False) -> DataFrame:
     """Latest scan per repository with the number of its findings (0 when none).
 
-    Findings are counted per scan before the join, so the join sees one row per scan.
+    Findings are counted per scan before the join, so the join sees one row per scan.  When
+    the latest scans are ``few``, all other findings are dropped before they are counted.
     """
-    counts = findings_per_scan(findings)
     latest = latest_scans(scans)
+    if few:
+        findings = findings.join(latest.select("scan_id"), "scan_id", "left_semi")
+    counts = findings_per_scan(findings)
     return latest.join(counts, "scan_id", "left").withColumn(
         "findings_count", F.coalesce("findings_count", F.lit(0))
     )
@@ -54,13 +57,9 @@ def repo_overview(
     """Repositories with last scan time, verdict and finding count of the latest scan."""
     if org_id is not None:
         repos = of_tenant(repos, org_id)
-        scans = scans.join(
-            repos.select(F.col("id").alias("repo_id")), "repo_id", "left_semi"
-        )
-        findings = findings.join(
-            scans.select(F.col("id").alias("scan_id")), "scan_id", "left_semi"
-        )
-    latest = latest_scan_counts(scans, findings)
+        own = repos.select(F.col("id").alias("repo_id"))
+        scans = scans.join(own, "repo_id", "left_semi")
+    latest = latest_scan_counts(scans, findings, few=org_id is not None)
     return repos.join(latest, repos["id"] == latest["repo_id"], "left").select(
         F.col("github_repo").alias("repo"),
         "last_scan_at",

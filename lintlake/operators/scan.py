@@ -398,7 +398,11 @@ def scan_joined(corpus: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -
         "rule",
     )
     open_rules = keyed.where(F.col("fix").isNull()).select("language", "shape", "rule")
-    found = facts_of(corpus, every_shape(), keep)
+    # at most one row per known shape and language comes to the driver
+    known = [f"{lang}/{name}" for lang, name in every_shape()]
+    pair = F.concat_ws("/", "language", "shape")
+    used = rules.select(pair.alias("pair")).where(pair.isin(known)).distinct().collect()
+    found = facts_of(corpus, {tuple(r.pair.split("/")): [()] for r in used}, keep)
     by_text = found.select(
         *keep, "path", "language", "shape", "fact_no", "caps", F.explode("caps").alias("c")
     ).withColumns({"capture": F.col("c.name"), "text": F.col("c.text")})

@@ -13,12 +13,25 @@ a very long literal cannot overflow the stack.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x{A0}\x{FEFF}\x{2028}\x{2029}]"
-_HIGH = r"\x{80}-\x{10FFFF}"
-_NOT_SPACE = r"&&[^\x{A0}\x{FEFF}\x{2028}\x{2029}]"
+# Java looks single Latin-1 characters of a class up in one table, ranges one by one; so
+# the classes of the hot loops list their characters, and the rest of Unicode is apart.
+_SPACE_CHARS = r" \t\n\r\f\x0B\xA0"
+_SPACE_HIGH = r"\x{2028}\x{2029}\x{FEFF}"
+_SPACE = rf"(?:[{_SPACE_CHARS}]++|[{_SPACE_HIGH}])"
+_LETTERS = string.ascii_letters + "_" + "".join(rf"\x{n:02X}" for n in range(0x80, 0x100) if n != 0xA0)
+_HIGH = rf"[\x{{100}}-\x{{10FFFF}}&&[^{_SPACE_HIGH}]]"
+
+
+def _ident(more: str) -> str:
+    letters = _LETTERS + more
+    return rf"(?:[{letters}]|{_HIGH})(?:[{letters}{string.digits}]++|{_HIGH})*+"
+
+
 _STR2 = r'"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"'
 _STR1 = r"'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
 _NUMBER = (
@@ -26,7 +39,7 @@ _NUMBER = (
     r"|(?:\d[\d_]*+(?:\.[\d_]*+)?+|\.\d[\d_]*+)(?:[eE][+-]?\d++)?+[nNjJ]?"
 )
 
-JS_IDENT = rf"[A-Za-z_${_HIGH}{_NOT_SPACE}][A-Za-z0-9_${_HIGH}{_NOT_SPACE}]*+"
+JS_IDENT = _ident("$")
 JS_STRING = rf"(?:{_STR2}|{_STR1})"
 JS_COMMENT = r"//[^\r\n]*+|/\*(?s:.*?)\*/"
 JS_TEMPLATE = (
@@ -42,13 +55,14 @@ _JS_OPERATOR = (
     r"\?\.(?!\d)|=>|\.\.\.|[=!]==?|>>>?=?|<<=?|<=|>=|\*\*=?|&&=?|\|\|=?|\?\?=?"
     r"|\+\+|--|[-+*/%&|^]="
 )
+# the most frequent kind of token comes first
 JS_CORE = (
-    rf"\A#![^\r\n]*+|{JS_STRING}|{JS_TEMPLATE}|{_NUMBER}|#?{JS_IDENT}|{_JS_REGEX}"
+    rf"#?{JS_IDENT}|{JS_STRING}|{JS_TEMPLATE}|{_NUMBER}|\A#![^\r\n]*+|{_JS_REGEX}"
     rf"|{_JS_OPERATOR}|(?s:.)"
 )
-_JS_TRIVIA = rf"(?:{_SPACE}++|{JS_COMMENT})"
+_JS_TRIVIA = rf"(?:{_SPACE}|{JS_COMMENT})"
 
-PY_IDENT = rf"[A-Za-z_{_HIGH}{_NOT_SPACE}][A-Za-z0-9_{_HIGH}{_NOT_SPACE}]*+"
+PY_IDENT = _ident("")
 PY_STRING = (
     r"[rRbBuUfF]{0,2}(?:"
     r'"""(?:[^"\\]++|\\(?s:.)|"(?!""))*+"""'
@@ -57,10 +71,10 @@ PY_STRING = (
 )
 PY_COMMENT = r"#[^\r\n]*+"
 PY_CORE = (
-    rf"{PY_STRING}|{_NUMBER}|{PY_IDENT}"
+    rf"(?![rRbBuUfF]{{1,2}}[\"']){PY_IDENT}|{PY_STRING}|{_NUMBER}"
     r"|->|:=|\.\.\.|\*\*=?|//=?|>>=?|<<=?|[-+*/%&|^@=!<>]=|(?s:.)"
 )
-_PY_TRIVIA = rf"(?:{_SPACE}++|{PY_COMMENT}|\\\r?\n)"
+_PY_TRIVIA = rf"(?:{_SPACE}|{PY_COMMENT}|\\\r?\n)"
 
 # HTML: comment, element with a raw body up to its end tag, tag, declaration, text.
 _TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""

@@ -410,7 +410,7 @@ def src_scan_dir(spark, sf):
 def _page_files(spark: SparkSession, sf: str) -> str:
     folder = shared_folder(spark)
     pages = V.table(spark, sf, "pages").select("html", (F.col("page_id") % 4).alias("shelf"))
-    options = {"extension": "htm", "quoteAll": "false", "escapeQuotes": "false", "quote": "\x00", "sep": "\x01"}
+    options = {"maxRecordsPerFile": 100, "extension": "htm", "quoteAll": "false", "escapeQuotes": "false", "quote": "\x00", "sep": "\x01"}
     pages.write.partitionBy("shelf").options(**options).csv(folder)
     return folder
 
@@ -1181,10 +1181,12 @@ def s_eq_ignore_case(spark, sf):
 # --- streams -------------------------------------------------------------------------
 
 
-def _as_stream(spark: SparkSession, df: DataFrame, folder: str, parts: int = 3) -> DataFrame:
-    """The rows as arriving files, a few at a time."""
-    df.repartition(parts).write.parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+def _as_stream(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    """The rows as arriving files, in about three batches."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(files).write.parquet(folder)
+    reader = spark.readStream.schema(df.schema)
+    return reader.option("maxFilesPerTrigger", max(files // 3, 1)).parquet(folder)
 
 
 def _append_stream(stream: DataFrame, folder: str) -> DataFrame:
