@@ -11,7 +11,7 @@ import functools
 import operator
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -423,8 +423,8 @@ def _bad_pattern(regex: str) -> str | None:
         return None
     try:
         jvm.java.util.regex.Pattern.compile(regex)
-    except Py4JJavaError as e:
-        return f"bad pattern {regex}: {e.java_exception.getDescription()}"
+    except IllegalArgumentException as e:
+        return f"bad pattern {regex}: {e}"
     return None
 
 

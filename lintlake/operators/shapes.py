@@ -46,6 +46,9 @@ _PYTHON_NOT_CALLABLE = (
     "from except raise del global nonlocal with as pass try finally await"
 ).split()
 _PREDEFINED_TYPES = "any number boolean string symbol unknown never void object".split()
+_PYTHON_HEADS = (
+    "if elif else while for try except finally with def class async match case".split()
+)
 # --- end of fixed values ---
 
 _WORD_END = r"(?![\w$])"
@@ -651,7 +654,7 @@ def _assign_string(lang: str, needs: frozenset[str]) -> tuple[str, str]:
         all_of(no(begins("i - 1", r"[(,\[{.*]")), line_ends("i - 1")),
         all_of(f"i = {HEAD + 1}", begins("i - 1", r"[\s#]")),
     )
-    typed = begins("i + 1", ":(?!=)")
+    typed = all_of(begins("i + 1", ":(?!=)"), no(line_ends("i + 1")), _callable("i", lang))
     test = all_of(any_of(begins("i + 1", _PLAIN_ASSIGN), typed), starts)
     sign = forward("i + 2", any_of(begins("j", _PLAIN_ASSIGN), line_ends("j")))
     whole = all_of(
@@ -659,7 +662,11 @@ def _assign_string(lang: str, needs: frozenset[str]) -> tuple[str, str]:
         begins("e + 1", tk.PY_STRING),
         any_of(begins("e + 2", r"\z|;"), line_ends("e + 1")),
     )
-    found = matches("i", [cap("name", "''", name("i", lang))], whole)
+    # after a colon: the body of a one-line statement, not the type of a name
+    head = back("i", any_of(f"j = {HEAD}", line_ends("j - 1"), begins("j", ";")))
+    body = any_of(no(begins("i - 1", ":")), word("h", *_PYTHON_HEADS))
+    found = matches("i", [cap("name", "''", name("i", lang))], all_of(whole, body))
+    found = let("h", f"if({begins('i - 1', ':')}, {head}, i)", found)
     return test, let("e", f"if({typed}, {sign}, i + 1)", found)
 
 
