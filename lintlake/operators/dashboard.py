@@ -36,16 +36,13 @@ def findings_per_scan(findings: DataFrame) -> DataFrame:
     return findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings_count"))
 
 
-def latest_scan_counts(scans: DataFrame, findings: DataFrame, few: bool = False) -> DataFrame:
+def latest_scan_counts(scans: DataFrame, findings: DataFrame) -> DataFrame:
     """Latest scan per repository with the number of its findings (0 when none).
 
-    Findings are counted per scan before the join, so the join sees one row per scan.  When
-    the latest scans are ``few``, all other findings are dropped before they are counted.
+    Findings are counted per scan before the join: each task sends one row per scan it
+    holds, so neither the table's size nor a scan with most of the findings matters.
     """
-    latest = latest_scans(scans)
-    if few:
-        findings = findings.join(latest.select("scan_id"), "scan_id", "left_semi")
-    counts = findings_per_scan(findings)
+    latest, counts = latest_scans(scans), findings_per_scan(findings)
     return latest.join(counts, "scan_id", "left").withColumn(
         "findings_count", F.coalesce("findings_count", F.lit(0))
     )
@@ -59,7 +56,7 @@ def repo_overview(
         repos = of_tenant(repos, org_id)
         own = repos.select(F.col("id").alias("repo_id"))
         scans = scans.join(own, "repo_id", "left_semi")
-    latest = latest_scan_counts(scans, findings, few=org_id is not None)
+    latest = latest_scan_counts(scans, findings)
     return repos.join(latest, repos["id"] == latest["repo_id"], "left").select(
         F.col("github_repo").alias("repo"),
         "last_scan_at",

@@ -877,8 +877,9 @@ _NOT_OTHER = "rule_id NOT LIKE 'py-%' AND rule_id NOT LIKE 'ts-%' AND rule_id NO
     f"{_ALL} SELECT file_path, rule_id, severity, start_line, message, count(*) AS n FROM issues WHERE {_NOT_OTHER} GROUP BY ALL",
 )
 def sink_sarif(spark, sf):
-    """One document per file, written, read back as SARIF and opened again."""
-    docs = report.to_sarif(_js_issues(spark, sf), by=["file_path"])
+    """One document per file, opened again as SARIF; the issues are computed once."""
+    issues = stored(_js_issues(spark, sf), shared_folder(spark))
+    docs = report.to_sarif(issues, by=["file_path"])
     parsed = sarif.accepted(sarif.parse_sarif(docs.withColumnRenamed("file_path", "doc")))
     rows = sarif.findings_of(parsed, "doc")
     return rows.groupBy(
@@ -891,7 +892,8 @@ def sink_sarif(spark, sf):
     f"{_ALL} SELECT file_path, '1.0.0' AS version, count(*) AS n, CAST(sum(start_column) AS BIGINT) AS columns FROM issues WHERE {_NOT_OTHER} GROUP BY file_path",
 )
 def sink_json(spark, sf):
-    docs = report.to_json_report(_js_issues(spark, sf), by=["file_path"])
+    issues = stored(_js_issues(spark, sf), shared_folder(spark))
+    docs = report.to_json_report(issues, by=["file_path"])
     back = F.from_json("report", "struct<version:string,issues:array<struct<start_column:bigint>>>")
     read = docs.select("file_path", back.alias("r"))
     return read.select("file_path", "r.version", F.explode("r.issues.start_column").alias("c")).groupBy(
