@@ -296,46 +296,56 @@ def captures(
 # --- issues ------------------------------------------------------------------------
 
 
-def _reported(caps: Column, report: Column) -> Column:
-    return F.filter(caps, lambda c: F.array_contains(report, c["name"]))
+_RULE = ("rule_no", "rule_id", "rule_name", "severity", "message")
 
 
 def _to_issues(matched: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Rows (path, fact_no, caps, rule) to one issue per reported capture."""
-    return matched.select(
-        *keep,
-        "path",
-        "fact_no",
-        "rule",
-        F.posexplode(_reported(F.col("caps"), F.col("rule.report"))).alias("cap_no", "c"),
-    ).select(
+    """Rows (path, fact_no, caps, rule columns, report) to one issue per reported capture."""
+    reported = F.filter("caps", lambda c: F.array_contains("report", c["name"]))
+    rows = matched.select(
+        *keep, "path", "fact_no", *_RULE, F.posexplode(reported).alias("cap_no", "c")
+    )
+    return rows.select(
         *keep,
-        F.col("rule.id").alias("rule_id"),
-        F.col("rule.name").alias("rule_name"),
-        F.col("rule.severity").alias("severity"),
-        F.col("rule.message").alias("message"),
+        "rule_id",
+        "rule_name",
+        "severity",
+        "message",
         F.col("path").alias("file_path"),
         F.col("c.start_line").alias("start_line"),
         F.col("c.start_column").alias("start_column"),
         F.col("c.end_line").alias("end_line"),
         F.col("c.end_column").alias("end_column"),
         F.col("c.text").alias("code_snippet"),
-        F.col("rule.rule_no").alias("rule_no"),
+        "rule_no",
         "fact_no",
         "cap_no",
     )
 
 
-def _fit(r: Rule) -> str:
-    """SQL: the rule as a struct when a fact satisfies it, else null."""
+def _fit(n: int, r: Rule) -> str:
+    """SQL: the number n when a fact satisfies the rule, else null."""
     test = sh.all_of(
         f"language = {sh.quoted(r.language.lower())}",
         f"shape = {sh.quoted(r.shape)}",
         conditions_hold("caps", r.where),
     )
-    texts = [f"{sh.quoted(getattr(r, f))} as {f}" for f in ("id", "name", "severity", "message")]
-    report = ", ".join(sh.quoted(x) for x in r.report)
-    return f"if({test}, struct({r.rule_no} as rule_no, {', '.join(texts)}, array({report}) as report), null)"
+    return f"if({test}, {n}, null)"
+
+
+def _rule_columns(rules: Sequence[Rule], n: str) -> list[Column]:
+    """Rule columns looked up in constant arrays by position."""
+
+    def listed(name: str, items: Sequence[str]) -> Column:
+        return F.expr(f"get(array({', '.join(items)}), {n})").alias(name)
+
+    columns = [listed("rule_no", [str(r.rule_no) for r in rules])]
+    for name, field in (("rule_id", "id"), ("rule_name", "name")):
+        columns.append(listed(name, [sh.quoted(getattr(r, field)) for r in rules]))
+    for name in ("severity", "message"):
+        columns.append(listed(name, [sh.quoted(getattr(r, name)) for r in rules]))
+    reports = [f"array({', '.join(map(sh.quoted, r.report))})" for r in rules]
+    return [*columns, listed("report", reports)]
 
 
 def scan_all(
@@ -358,11 +368,16 @@ def scan_all(
         return corpus.sparkSession.createDataFrame([], schemas.ISSUES)
     needs = frozenset(c for r in usable for c in (*r.report, *(w.capture for w in r.where)))
     found = facts_of(corpus, _wanted(usable), keep, needs)
-    fitting = F.expr(f"array_compact(array({', '.join(_fit(r) for r in usable)}))")
+    tests = ", ".join(_fit(n, r) for n, r in enumerate(usable))
     matched = found.select(
-        *keep, "path", "fact_no", "caps", F.explode_outer(fitting).alias("rule")
-    ).where(F.col("rule").isNotNull())
-    return _to_issues(matched, keep)
+        *keep,
+        "path",
+        "fact_no",
+        "caps",
+        F.explode_outer(F.expr(f"array_compact(array({tests}))")).alias("n"),
+    ).where(F.col("n").isNotNull())
+    columns = [*keep, "path", "fact_no", "caps"]
+    return _to_issues(matched.select(*columns, *_rule_columns(usable, "n")), keep)
 
 
 def scan_rule(corpus: DataFrame, rule: Rule) -> DataFrame:
@@ -386,30 +401,34 @@ def scan_joined(corpus: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -
     A rule that fixes a capture's text is joined on (language, shape, capture, text), so
     a fact meets only rules for its own names; the others on (language, shape).
     """
-    rules = rules.withColumn("language", F.lower("language"))
     fixed = F.get(F.filter("where", lambda w: w["op"] == "eq"), F.lit(0))
-    rule = F.struct("rule_no", "id", "name", "severity", "message", "report", "where")
-    keyed = rules.select("language", "shape", fixed.alias("fix"), rule.alias("rule"))
-    named = keyed.where(F.col("fix").isNotNull()).select(
-        "language",
+    rule = rules.select(
+        F.lower("language").alias("language"),
         "shape",
-        F.col("fix.capture").alias("capture"),
-        F.col("fix.value").alias("text"),
-        "rule",
+        "rule_no",
+        F.col("id").alias("rule_id"),
+        F.col("name").alias("rule_name"),
+        "severity",
+        "message",
+        "report",
+        F.array_except("where", F.array(fixed)).alias("where"),
+        fixed["capture"].alias("capture"),
+        fixed["value"].alias("text"),
     )
-    open_rules = keyed.where(F.col("fix").isNull()).select("language", "shape", "rule")
+    named = rule.where(F.col("capture").isNotNull())
+    open_rules = rule.where(F.col("capture").isNull()).drop("capture", "text")
     # at most one row per known shape and language comes to the driver
     known = [f"{lang}/{name}" for lang, name in every_shape()]
     pair = F.concat_ws("/", "language", "shape")
-    used = rules.select(pair.alias("pair")).where(pair.isin(known)).distinct().collect()
+    used = rule.select(pair.alias("pair")).where(pair.isin(known)).distinct().collect()
     found = facts_of(corpus, {tuple(r.pair.split("/")): [()] for r in used}, keep)
     by_text = found.select(
         *keep, "path", "language", "shape", "fact_no", "caps", F.explode("caps").alias("c")
     ).withColumns({"capture": F.col("c.name"), "text": F.col("c.text")})
-    columns = [*keep, "path", "fact_no", "caps", "rule"]
+    columns = [*keep, "path", "fact_no", "caps", *_RULE, "report", "where"]
     hit = by_text.join(named, ["language", "shape", "capture", "text"]).select(*columns)
     rest = found.join(open_rules, ["language", "shape"]).select(*columns)
-    holds = F.forall("rule.where", lambda w: _row_condition(F.col("caps"), w))
+    holds = F.forall("where", lambda w: _row_condition(F.col("caps"), w))
     return _to_issues(hit.unionByName(rest).where(holds), keep)
 
 
