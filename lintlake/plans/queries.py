@@ -393,18 +393,34 @@ def call_first_arg_string(spark, sf):
 # --- sources -------------------------------------------------------------------------
 
 
-@query(
-    "src_scan_dir",
-    "WITH n AS (SELECT unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '([a-z]+)=\"', 1)) AS name FROM pages) "
-    "SELECT name, count(*) AS facts FROM n GROUP BY name",
+_PAGE_ATTRS = (
+    "WITH n AS (SELECT unnest(regexp_extract_all(regexp_replace(html, "
+    "'<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '([a-z]+)=\"', 1)) AS name FROM pages) "
+    "SELECT name, count(*) AS facts FROM n GROUP BY name"
 )
+
+
+def _attr_counts(corpus: DataFrame) -> DataFrame:
+    found = sc.facts_of(corpus, {("html", "html_attr"): [()]})
+    name = F.get("caps", F.lit(0))["text"].alias("name")
+    return found.groupBy(name).agg(F.count(F.lit(1)).alias("facts"))
+
+
+@query("src_scan_dir", _PAGE_ATTRS)
 def src_scan_dir(spark, sf):
     """Pages written as files of several pages each, then listed, read and scanned."""
-    folder = _page_files(spark, sf)
-    found = sc.facts_of(fs.scan_dir(spark, folder, recursive=True), {("html", "html_attr"): [()]})
-    return found.groupBy(F.get("caps", F.lit(0))["text"].alias("name")).agg(
-        F.count(F.lit(1)).alias("facts")
-    )
+    return _attr_counts(fs.scan_dir(spark, _page_files(spark, sf), recursive=True))
+
+
+@query("src_scan_path", _PAGE_ATTRS)
+def src_scan_path(spark, sf):
+    return _attr_counts(fs.scan_path(spark, _page_files(spark, sf), recursive=True))
+
+
+@query("src_scan_file", _PAGE_ATTRS)
+def src_scan_file(spark, sf):
+    """The strict reader over all of the files."""
+    return _attr_counts(fs.scan_file(spark, f"{_page_files(spark, sf)}/*/*.htm"))
 
 
 def _page_files(spark: SparkSession, sf: str) -> str:

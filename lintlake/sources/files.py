@@ -16,11 +16,23 @@ def table_corpus(df: DataFrame, path: Column, src: Column, language: Column | No
     )
 
 
-def _read(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile")
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path)
+
+
+def _read_dir(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """Files below a folder, or only those in it (``k=v`` folders are folders too)."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path)
+        return reader.load(path)
+    folder, fs = _hadoop(spark, path)
+    root = fs.makeQualified(folder).toString()
+    return reader.load(path).where(F.regexp_replace("path", r"/[^/]*$", "") == root)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _reason(path: Column, text: Column) -> Column:
@@ -40,7 +52,7 @@ def scan_dir(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
     The extension test comes before the content is read.  Spark packs small files into
     one task and gives a large one a task of its own.
     """
-    files = _read(spark, path, recursive).where(S.is_supported_file(F.col("path")))
+    files = _read_dir(spark, path, recursive).where(S.is_supported_file(F.col("path")))
     good = _judged(files).where(F.col("reason").isNull())
     return table_corpus(good, F.col("path"), F.col("src"))
 
@@ -48,7 +60,7 @@ def scan_dir(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
 def rejects(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """Files left out of :func:`scan_dir`, with the reason; content is read only when the
     extension is supported."""
-    files = _read(spark, path, recursive)
+    files = _read_dir(spark, path, recursive)
     other = files.where(~S.is_supported_file(F.col("path"))).select(
         "path", F.lit("unsupported extension").alias("reason")
     )
@@ -57,8 +69,8 @@ def rejects(spark: SparkSession, path: str, recursive: bool = False) -> DataFram
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus of one file; a file that cannot be scanned raises."""
-    judged = _judged(_read(spark, path, False))
+    """Corpus of one file (or of all files a pattern names); a bad one raises."""
+    judged = _judged(_read(spark, path))
     message = F.concat(F.col("reason"), F.lit(": "), F.col("path"))
     src = F.when(F.col("reason").isNotNull(), F.raise_error(message)).otherwise(F.col("src"))
     return table_corpus(judged, F.col("path"), src)
@@ -66,8 +78,7 @@ def scan_file(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_path(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """A file strictly, a folder leniently; a path that does not exist raises."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    hadoop, fs = _hadoop(spark, path)
     if not fs.exists(hadoop):
         raise FileNotFoundError(f"path does not exist: {path}")
     if fs.getFileStatus(hadoop).isDirectory():

@@ -82,6 +82,8 @@ def test_policies(spark):
 
 def test_folders_and_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
+    (tmp_path / "k=v").mkdir()
+    (tmp_path / "k=v" / "d.ts").write_text("let a: any")
     (tmp_path / "a.js").write_text("eval(1)")
     (tmp_path / "sub" / "b.py").write_text("eval(1)")
     (tmp_path / "c.txt").write_text("eval(1)")
@@ -91,11 +93,11 @@ def test_folders_and_files(spark, tmp_path):
         return sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
 
     assert names(fs.scan_dir(spark, str(tmp_path))) == ["a.js"]
-    assert names(fs.scan_dir(spark, str(tmp_path), recursive=True)) == ["a.js", "b.py"]
+    assert names(fs.scan_dir(spark, str(tmp_path), recursive=True)) == ["a.js", "b.py", "d.ts"]
     reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in fs.rejects(spark, str(tmp_path)).collect()}
     assert reasons == {"c.txt": "unsupported extension", "bad.js": "not UTF-8"}
     assert names(fs.scan_path(spark, str(tmp_path / "a.js"))) == ["a.js"]
-    assert names(fs.scan_path(spark, str(tmp_path), True)) == ["a.js", "b.py"]
+    assert names(fs.scan_path(spark, str(tmp_path), True)) == ["a.js", "b.py", "d.ts"]
     for bad in ("c.txt", "bad.js"):
         with pytest.raises(Exception, match="unsupported|UTF-8"):
             fs.scan_path(spark, str(tmp_path / bad)).collect()
