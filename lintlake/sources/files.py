@@ -21,13 +21,23 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_dir(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    """Files below a folder, or only those in it (``k=v`` folders are folders too)."""
+    """Files below a folder, or only those in it (``k=v`` folders are folders too).
+
+    Tests on ``_metadata`` choose files when they are listed, before any is read.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(path)
     if recursive:
-        return reader.load(path)
+        return files
     folder, fs = _hadoop(spark, path)
-    root = fs.makeQualified(folder).toString()
-    return reader.load(path).where(F.regexp_replace("path", r"/[^/]*$", "") == root)
+    root = fs.makeQualified(folder)
+    own = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")
+    listed = files.where(own.endswith(root.toUri().getRawPath()))
+    return listed.where(F.regexp_replace("path", r"/[^/]*$", "") == root.toString())
+
+
+def _supported(files: DataFrame) -> DataFrame:
+    return files.where(S.is_supported_file(F.col("_metadata.file_name")))
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -52,7 +62,7 @@ def scan_dir(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
     The extension test comes before the content is read.  Spark packs small files into
     one task and gives a large one a task of its own.
     """
-    files = _read_dir(spark, path, recursive).where(S.is_supported_file(F.col("path")))
+    files = _supported(_read_dir(spark, path, recursive))
     good = _judged(files).where(F.col("reason").isNull())
     return table_corpus(good, F.col("path"), F.col("src"))
 
@@ -64,7 +74,7 @@ def rejects(spark: SparkSession, path: str, recursive: bool = False) -> DataFram
     other = files.where(~S.is_supported_file(F.col("path"))).select(
         "path", F.lit("unsupported extension").alias("reason")
     )
-    bad = _judged(files.where(S.is_supported_file(F.col("path")))).where("reason is not null")
+    bad = _judged(_supported(files)).where("reason is not null")
     return other.unionByName(bad.select("path", "reason"))
 
 
