@@ -23,12 +23,16 @@ def _in_parts(issues: DataFrame, by: Sequence[str], max_results: int) -> DataFra
     Only groups over the limit need a look-up; there are at most issues / limit of them.
     """
     spread = F.xxhash64(*_ORDER)
-    if not by:
+    single = not by
+    if single:
         issues, by = issues.withColumn("_all", F.lit(1)), ["_all"]
     sizes = issues.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > max_results).select(
         *by, F.ceil(F.col("_n") / max_results).alias("_parts")
     )
+    if single:
+        # one row: the sizes of one group
+        large = F.broadcast(large)
     marked = issues.join(large, list(by), "left")
     part = F.pmod(spread, F.coalesce("_parts", F.lit(1)))
     return marked.withColumn("part_no", part.cast("int")).drop("_parts", "_all")

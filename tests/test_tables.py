@@ -301,3 +301,12 @@ def test_registered_query_equals_its_sql(spark, sf, name):
 
 def test_every_query_has_expected_rows():
     assert set(q.QUERIES) == set(q.ORACLE)
+
+
+def test_one_large_report_without_groups(spark):
+    issues = _issues(spark, "eval(1);" * 100)
+    docs = report.to_sarif(issues, max_results=30).collect()
+    counts = [len(json.loads(d.sarif)["runs"][0]["results"]) for d in docs]
+    assert len(docs) > 1 and sum(counts) == 100
+    pages = report.to_json_report(issues, max_results=30).collect()
+    assert sum(len(json.loads(p.report)["issues"]) for p in pages) == 100
