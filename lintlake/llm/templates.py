@@ -28,11 +28,11 @@ NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0004"
 def raw_form(text: Column) -> Column:
     """Lower-cased words one blank apart, without punctuation; names carry a mark.
 
-    A name is a capitalised word that follows a lower-case letter, digit, comma, semicolon or
-    colon and a blank, so the first word of a sentence or line is not one.
+    A name is a capitalised word that follows a lower-case letter or digit and a blank, so the
+    first word of a sentence, clause or line is not one.
     """
     plain = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
-    marked = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu})", NAME)
+    marked = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N}] )(?=\p{Lu})", NAME)
     words = F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}\s{NAME}]+", "")
     return F.trim(F.regexp_replace(words, r"\s+", " "))
 
