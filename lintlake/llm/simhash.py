@@ -21,6 +21,7 @@ SEED = 42
 BLOCKS = 8
 PIVOTS = 16
 CHUNK = 1 << 16
+COMPARED = 5
 
 
 def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
@@ -122,17 +123,49 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
+def similar(
+    found: DataFrame, texts: DataFrame, min_similarity: float, size: int = COMPARED
+) -> DataFrame:
+    """The links of ``found`` whose texts share enough of their shingles of ``size`` words.
+
+    ``texts`` has one ``fp, text`` for each fingerprint; only linked texts are moved.
+    """
+    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    linked = texts.join(ends, "fp", "left_semi")
+    pairs = found.join(linked.withColumnsRenamed({"fp": "a", "text": "x"}), "a").join(
+        linked.withColumnsRenamed({"fp": "b", "text": "y"}), "b"
+    )
+
+    def shingles(text: str) -> set:
+        words = text.encode().lower().split()
+        if len(words) <= size:
+            return {tuple(words)}
+        return set(zip(*(words[i:] for i in range(size))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                s, t = shingles(x), shingles(y)
+                keep.append(len(s & t) >= min_similarity * len(s | t))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = SHINGLE,
     max_bits: int = MAX_BITS,
+    min_similarity: float | None = None,
     id_col: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """``doc_id, fp, fingerprint, component_id`` of each row of ``docs``.
 
     Texts with equal fingerprints are one node, so copies cost one row however many there are.
-    ``component_id`` is the smallest id reachable over links.  Texts without words all have
+    ``component_id`` is the smallest id reachable over links.  With ``min_similarity`` a link
+    also needs that Jaccard similarity of COMPARED-word shingles.  Texts without words all have
     fingerprint zero and belong together.  Null ids are never a component's id unless it has no
     other; repeated rows are returned each; an empty table gives no rows.
     """
@@ -140,7 +173,14 @@ def near_duplicates(
         fingerprints(docs, size, id_col, text), f"{shared_folder(docs.sparkSession)}/prints"
     )
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(prints, max_bits)).withColumnRenamed("node", "fp")
+    found = links(prints, max_bits)
+    if min_similarity is not None:
+        one = firsts.select("fp", F.col("first_id").alias("id"))
+        body = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+        body = body.join(one, "id").dropDuplicates(["fp"])
+        texts = body.select("fp", F.coalesce("text", F.lit("")).alias("text"))
+        found = similar(stored(found, f"{shared_folder(docs.sparkSession)}/links"), texts, min_similarity)
+    roots = components(found).withColumnRenamed("node", "fp")
     classes = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = classes.join(lowest, "root").select("fp", "component_id")
