@@ -18,7 +18,9 @@ WINDOWS_PER_ROW = 8
 EPOCHS = 40
 MIN_DOCS = 4
 TOXIC_WEIGHT = 0.2
-RATE = 0.5
+FULL_SAMPLE = 200_000  # words
+RATE = 0.1
+DAMPING = 0.03  # keeps seldom-seen subwords from steps as long as common ones get
 CACHE = 1 << 19
 
 
@@ -124,6 +126,8 @@ def fit(docs: list[list[list[bytes]]], labels: np.ndarray, epochs: int = EPOCHS,
     often = in_docs[ids] >= MIN_DOCS
     ids, owner = ids[often], owner[often]
     used, ids = np.unique(ids, return_inverse=True)
+    # A small sample gives few updates a pass, so it gets up to five times as many passes.
+    epochs = int(epochs * min(5, max(1, FULL_SAMPLE / len(word_ids))))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIM, 2))
@@ -131,7 +135,7 @@ def fit(docs: list[list[list[bytes]]], labels: np.ndarray, epochs: int = EPOCHS,
     toxic, clean = max(1, labels.sum()), max(1, (1 - labels).sum())
     weight = np.where(labels == 1, TOXIC_WEIGHT / toxic, (1 - TOXIC_WEIGHT) / clean)
     params = [table, softmax, bias]
-    moments = [np.zeros_like(p) for p in params]
+    moments = [(np.zeros(p.shape), np.zeros(p.shape)) for p in params]
 
     to_word, to_bag = GroupSum(owner, ids), GroupSum(window_of, word_ids)
     to_subword, back = GroupSum(ids, owner), GroupSum(word_ids, window_of)
@@ -155,10 +159,13 @@ def fit(docs: list[list[list[bytes]]], labels: np.ndarray, epochs: int = EPOCHS,
         by_word = back(by_bag, len(sizes)) / sizes
         grads = [to_subword(by_word, len(used)), bags.T @ by_logit, by_logit.sum(0)]
         rate = RATE * min(1, 2 * (1 - epoch / epochs))
-        for p_, g, m in zip(params, grads, moments):
+        for p_, g, (m, v) in zip(params, grads, moments):
             m *= 0.8
-            m += g / (np.abs(g).max() + 1e-12) * 0.2
-            p_ -= (rate * m).astype(p_.dtype)
+            m += 0.2 * g
+            v *= 0.95
+            v += 0.05 * g * g
+            size = np.sqrt(v)
+            p_ -= (rate * m / (size + DAMPING * size.max() + 1e-12)).astype(p_.dtype)
     weights = np.zeros(BUCKETS)
     weights[used] = table @ (softmax[:, 1] - softmax[:, 0])
     return Scorer(weights, float(bias[1] - bias[0]))
