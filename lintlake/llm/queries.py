@@ -104,8 +104,8 @@ WITH lines AS (
   SELECT source, list(line) AS lines FROM common GROUP BY source
 ), kept AS (
   SELECT doc_id, d.source, d.text, string_split(d.text, chr(10)) AS every,
-         list_filter(string_split(d.text, chr(10)),
-                     x -> NOT list_contains(coalesce(s.lines, []), trim(x))) AS rest
+         [x for x in string_split(d.text, chr(10))
+          if NOT list_contains(coalesce(s.lines, []), trim(x))] AS rest
   FROM documents d LEFT JOIN sets s ON d.source = s.source
 )
 SELECT doc_id, source, array_to_string(rest, chr(10)) AS text,
@@ -135,8 +135,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), good AS (
-  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+  SELECT * FROM v WHERE e IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in e if x <> 0]) > 0
 ), links AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
     ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
