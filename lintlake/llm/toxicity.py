@@ -113,7 +113,7 @@ def fit(docs: list[list[list[bytes]]], labels: np.ndarray, epochs: int = EPOCHS,
             doc_of.append(d)
             for w in window:
                 word_ids.append(vocabulary.setdefault(w, len(vocabulary)))
-                window_of.append(k)
+            window_of.extend([k] * len(window))
     if not vocabulary or len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
@@ -135,7 +135,7 @@ def fit(docs: list[list[list[bytes]]], labels: np.ndarray, epochs: int = EPOCHS,
     toxic, clean = max(1, labels.sum()), max(1, (1 - labels).sum())
     weight = np.where(labels == 1, TOXIC_WEIGHT / toxic, (1 - TOXIC_WEIGHT) / clean)
     params = [table, softmax, bias]
-    moments = [(np.zeros(p.shape), np.zeros(p.shape)) for p in params]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
 
     to_word, to_bag = GroupSum(owner, ids), GroupSum(window_of, word_ids)
     to_subword, back = GroupSum(ids, owner), GroupSum(word_ids, window_of)
@@ -208,7 +208,9 @@ def _training_windows(sample: DataFrame, scorer: Scorer | None) -> tuple[list, n
     rows = sample.select("text", "toxic").mapInArrow(run, "toxic int, spans array<binary>")
     # Bounded: ROWS_PER_LABEL rows of WINDOWS_PER_ROW windows of SPAN words.
     rows = sorted((r.toxic, [bytes(s) for s in r.spans]) for r in rows.collect())
-    return [[s.split() for s in spans] for _, spans in rows], np.array([y for y, _ in rows], dtype=float)
+    one: dict[bytes, bytes] = {}  # one object for each word, however often it occurs
+    windows = [[[one.setdefault(w, w) for w in s.split()] for s in spans] for _, spans in rows]
+    return windows, np.array([y for y, _ in rows], dtype=float)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
