@@ -142,11 +142,14 @@ def parse_rules(text: str) -> RuleSet:
 
 
 def load_rules(spark: SparkSession, path: str) -> RuleSet:
-    """Rules from a YAML file on any file system Spark reads."""
-    text = spark.read.text(path, wholetext=True).first()
-    if text is None:
+    """Rules from a YAML file, or all files of a folder or pattern, in the order of their paths."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), "value"
+    )
+    texts = [r.value for r in files.orderBy("path").collect()]
+    if not texts:
         raise ValueError(f"rules file not found or empty: {path}")
-    return parse_rules(text[0])
+    return RuleSet(rule for text in texts for rule in parse_rules(text))
 
 
 # --- the same operators on rule tables ----------------------------------------------

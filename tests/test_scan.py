@@ -301,3 +301,14 @@ def test_rules_file(spark, tmp_path):
     with pytest.raises(ValueError):
         parse_rules(json.dumps({"rules": [{k: v for k, v in rule.items() if k != "name"}]}))
     assert [r.id for r in RuleSet([*rules]).only(" x ,y")] == ["x"]
+
+
+def test_a_folder_of_rule_files_is_one_set(spark, tmp_path):
+    from lintlake.sources.rules import load_rules
+
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.yaml").write_text(
+            f"rules: [{{id: {name}, name: n, severity: error, language: javascript, message: m,"
+            " query: {shape: member_call, where: [], report: [prop]}}]\n"
+        )
+    assert [r.id for r in load_rules(spark, str(tmp_path))] == ["a", "b", "c"]
