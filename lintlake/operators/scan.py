@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Sequence
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +19,8 @@ from lintlake import schemas
 from lintlake.operators import shapes as sh
 from lintlake.operators import tokens as tk
 from lintlake.operators.shapes import Condition, Shape
-from lintlake.sources.rules import Rule, RuleSet, rules_of
+from lintlake.sources.rules import Rule, RuleSet
 
-# Above this many rules the rule table is joined to the facts instead of being
-# compiled into one predicate per rule.
-MAX_COMPILED_RULES = 400
 _BLOCK = 512
 _POINTS = "array<struct<line:int,col:int>>"
 
@@ -99,19 +96,40 @@ def _placed(caps: Column, point: Column) -> Column:
 # --- conditions --------------------------------------------------------------------
 
 
-def conditions_hold(caps: str, where: Sequence[Condition]) -> str:
-    """SQL test of a rule's conditions on a captures column.
+def _may_hold(caps: str, wheres: Sequence[Sequence[Condition]], names: Sequence[str]) -> str:
+    """SQL test that holds for every match some of the conditions accept.
 
-    A condition on a capture that is absent holds, as there is nothing to refuse.
+    Conditions that all share, and one test per capture that all restrict, so the plan does
+    not grow with the rules.  It only thins out the matches; the join with the rules decides.
     """
-    tests = []
-    for c in where:
-        value = f"get(filter({caps}, c -> c.name = {sh.quoted(c.capture)}), 0).text"
-        test = f"{value} {'=' if c.op == 'eq' else 'rlike'} {sh.quoted(c.value)}"
-        tests.append(f"coalesce({'not ' if c.op == 'not_match' else ''}({test}), true)")
+    shared = set.intersection(*map(set, wheres)) if wheres else set()
+    tests = [_test(caps, c) for c in sorted(shared, key=repr)]
+    for name in names:
+        if any(c.capture == name for c in shared):
+            continue
+        listed = [[c for c in w if c.capture == name and _alone(c)] for w in wheres]
+        if not all(listed):
+            continue
+        firsts = [x[0] for x in listed]
+        whole = [re.escape(c.value) for c in firsts if c.op == "eq"]
+        options = [rf"\A(?:{'|'.join(dict.fromkeys(whole))})\z"] if whole else []
+        options += [f"(?:{c.value})" for c in firsts if c.op == "match"]
+        tests.append(_test(caps, Condition(name, "match", _alternatives(options))))
     return sh.all_of(*tests) if tests else "true"
 
 
+def _test(caps: str, c: Condition) -> str:
+    """SQL test of one condition; it holds when the capture is absent."""
+    value = f"get(filter({caps}, c -> c.name = {sh.quoted(c.capture)}), 0).text"
+    test = f"{value} {'=' if c.op == 'eq' else 'rlike'} {sh.quoted(c.value)}"
+    return f"coalesce({'not ' if c.op == 'not_match' else ''}({test}), true)"
+
+
+def _alone(c: Condition) -> bool:
+    """The test can stand in an alternation: it refers to no group."""
+    return c.op == "eq" or (c.op == "match" and not re.search(r"\\[\dkQ]|\(\?[<x]|#", c.value))
+
+
 # --- facts -------------------------------------------------------------------------
 
 Wanted = dict[tuple[str, str], list[tuple[Condition, ...]]]
@@ -157,8 +175,8 @@ def _hits(language: str, wanted: Wanted, needs: frozenset[str]) -> str:
         shape = sh.REGISTRY[name]
         anchor = _alternatives([shape.anchor(w, language) for w in wheres])
         test, found = shape.found(language, needs)
-        if all(wheres):
-            holds = " or ".join(conditions_hold("m.caps", w) for w in wheres)
+        holds = _may_hold("m.caps", wheres, sh.captures_of(shape, language))
+        if holds != "true":
             found = f"filter({found}, m -> {holds})"
         pool = "attrs"
         if name not in sh.ATTRIBUTE_SHAPES:
@@ -199,9 +217,10 @@ def facts_of(
     if needs is None:
         needs = frozenset(c for s in sh.REGISTRY.values() for c in s.captures)
     languages = [x for x in schemas.LANGUAGES if any(lang == x for lang, _ in wanted)]
-    spark = corpus.sparkSession
     if not languages:
-        return spark.createDataFrame([], schemas.FACTS)
+        # a schema that does not depend on the rules
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.struct_of(schemas.FACTS)]
+        return corpus.where(F.lit(False)).select("path", *keep, *none[1:])
     language = F.lower("language")
     may = []
     for lang in languages:
@@ -323,29 +342,107 @@ def _to_issues(matched: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def _fit(n: int, r: Rule) -> str:
-    """SQL: the number n when a fact satisfies the rule, else null."""
-    test = sh.all_of(
-        f"language = {sh.quoted(r.language.lower())}",
-        f"shape = {sh.quoted(r.shape)}",
-        conditions_hold("caps", r.where),
+_ON = ["language", "shape", "capture", "text"]
+
+
+def _key() -> Column:
+    return F.sha2(F.to_json(F.struct("language", "shape", "where", "report")), 256)
+
+
+def _with_keys(rules: DataFrame) -> DataFrame:
+    """Usable rules in one form; ``key`` is the same for rules that look for the same."""
+    usable = with_problems(rules).where(F.col("problem").isNull())
+    return usable.select(
+        "rule_no",
+        F.col("id").alias("rule_id"),
+        F.col("name").alias("rule_name"),
+        "severity",
+        "message",
+        F.lower("language").alias("language"),
+        "shape",
+        F.coalesce("where", F.array().cast(schemas.WHERE)).alias("where"),
+        F.coalesce("report", F.array().cast("array<string>")).alias("report"),
+    ).withColumn("key", _key())
+
+
+def _texts(w: Column) -> Column:
+    """The only texts a condition's capture may have; null when it is not that strict."""
+    listed = F.regexp_extract(w["value"], r"^\^\(([\w$]+(?:\|[\w$]+)*)\)\$$", 1)
+    return F.when(w["op"] == "eq", F.array(w["value"])).when(
+        (w["op"] == "match") & (listed != ""), F.array_distinct(F.split(listed, r"\|"))
+    )
+
+
+def _searches(rules: DataFrame) -> DataFrame:
+    """What rules look for, once each, with the capture and text to find it by.
+
+    A search that fixes the texts of a capture all matches have is found by each of them,
+    any other by an empty name; ``rest`` are the conditions left to test.
+    """
+    always = [
+        f"{name}/{c}" for name, s in sh.REGISTRY.items() for c in s.captures if c not in s.optional
+    ]
+    strict = F.filter(
+        "where",
+        lambda w: _texts(w).isNotNull()
+        & F.concat_ws("/", F.col("shape"), w["capture"]).isin(always),
+    )
+    searches = rules.select("language", "shape", "where", "report", "key").distinct()
+    first = F.get(strict, F.lit(0))
+    texts = F.coalesce(_texts(first), F.array(F.lit("")))
+    return searches.select(
+        "language",
+        "shape",
+        "report",
+        "key",
+        F.coalesce(first["capture"], F.lit("")).alias("capture"),
+        F.filter("where", lambda w: ~w.eqNullSafe(first)).alias("rest"),
+        F.explode(texts).alias("text"),
     )
-    return f"if({test}, {n}, null)"
 
 
-def _rule_columns(rules: Sequence[Rule], n: str) -> list[Column]:
-    """Rule columns looked up in constant arrays by position."""
+def _wanted_by(rules: RuleSet | DataFrame, keyed: DataFrame) -> tuple[Wanted, frozenset[str] | None]:
+    """Shapes to look for and the captures needed.
 
-    def listed(name: str, items: Sequence[str]) -> Column:
-        return F.expr(f"get(array({', '.join(items)}), {n})").alias(name)
+    A rule set narrows the search by its own texts.  Of a rule table, which may be of any
+    size, one row per known shape and language comes to the driver.
+    """
+    if isinstance(rules, DataFrame):
+        used = keyed.select("language", "shape").distinct().collect()
+        return {(r["language"], r["shape"]): [()] for r in used}, None
+    refused = {n for n, _, _ in _refused(rules, keyed.sparkSession)}
+    usable = [r for r in rules if r.rule_no not in refused]
+    needs = frozenset(c for r in usable for c in (*r.report, *(w.capture for w in r.where)))
+    return _wanted(usable), needs
 
-    columns = [listed("rule_no", [str(r.rule_no) for r in rules])]
-    for name, field in (("rule_id", "id"), ("rule_name", "name")):
-        columns.append(listed(name, [sh.quoted(getattr(r, field)) for r in rules]))
-    for name in ("severity", "message"):
-        columns.append(listed(name, [sh.quoted(getattr(r, name)) for r in rules]))
-    reports = [f"array({', '.join(map(sh.quoted, r.report))})" for r in rules]
-    return [*columns, listed("report", reports)]
+
+def _holds(w: Column) -> Column:
+    """A condition on a capture that the match lacks holds, as there is nothing to refuse."""
+    text = F.get(F.filter("caps", lambda x: x["name"] == w["capture"]), F.lit(0))["text"]
+    test = (
+        F.when(w["op"] == "eq", text == w["value"])
+        .when(w["op"] == "match", F.rlike(text, w["value"]))
+        .otherwise(~F.rlike(text, w["value"]))
+    )
+    return F.coalesce(test, F.lit(True))
+
+
+def _found(
+    corpus: DataFrame, rules: RuleSet | DataFrame, keep: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(matches with the key of each search they answer, usable rules with their keys)."""
+    table = rules if isinstance(rules, DataFrame) else rules.to_df(corpus.sparkSession)
+    keyed = _with_keys(table)
+    wanted, needs = _wanted_by(rules, keyed)
+    found = facts_of(corpus, wanted, keep, needs)
+    names = F.transform("caps", lambda c: F.struct(c["name"].alias("capture"), c["text"].alias("text")))
+    open_name = F.array(F.struct(F.lit("").alias("capture"), F.lit("").alias("text")))
+    found_by = F.array_distinct(F.concat(names, open_name))
+    columns = [*keep, "path", "fact_no", "caps"]
+    by = found.select(*columns, "language", "shape", F.explode(found_by).alias("by"))
+    by = by.select(*columns, "language", "shape", "by.capture", "by.text")
+    hits = by.join(_searches(keyed), _ON).where(F.forall("rest", _holds))
+    return hits.select(*columns, "key", "report"), keyed
 
 
 def scan_all(
@@ -353,31 +450,28 @@ def scan_all(
 ) -> DataFrame:
     """Issues of all rules over the corpus (``schemas.ISSUES``), overlaps included.
 
-    ``keep`` names further corpus columns to carry along.  Rules whose shape is unknown
-    or does not fit the language are left out here; see :func:`rule_errors`.
+    One plan for any number of rules: shapes are compiled into it, rules are data.  A match
+    meets each different search once, however many rules share it.  ``keep`` names further
+    corpus columns to carry along.  Rules that cannot run are left out; see
+    :func:`with_problems`.
     """
-    if isinstance(rules, DataFrame):
-        few = rules_of(rules, MAX_COMPILED_RULES)
-        if few is None:
-            return scan_joined(corpus, rules, keep)
-        rules = few
-    usable = [r for r in rules if not _why_unusable(r)]
-    if len(usable) > MAX_COMPILED_RULES:
-        return scan_joined(corpus, rules.to_df(corpus.sparkSession), keep)
-    if not usable:
-        return corpus.sparkSession.createDataFrame([], schemas.ISSUES)
-    needs = frozenset(c for r in usable for c in (*r.report, *(w.capture for w in r.where)))
-    found = facts_of(corpus, _wanted(usable), keep, needs)
-    tests = ", ".join(_fit(n, r) for n, r in enumerate(usable))
-    matched = found.select(
-        *keep,
-        "path",
-        "fact_no",
-        "caps",
-        F.explode_outer(F.expr(f"array_compact(array({tests}))")).alias("n"),
-    ).where(F.col("n").isNotNull())
-    columns = [*keep, "path", "fact_no", "caps"]
-    return _to_issues(matched.select(*columns, *_rule_columns(usable, "n")), keep)
+    hits, keyed = _found(corpus, rules, keep)
+    return _to_issues(hits.join(keyed.select("key", *_RULE), "key"), keep)
+
+
+def rule_issue_counts(corpus: DataFrame, rules: RuleSet | DataFrame) -> DataFrame:
+    """Issues and files per rule with any (``rule_no, rule_id, severity, issues, files``).
+
+    Counted per search before the rules are joined, so rules that look for the same do not
+    multiply the matches.
+    """
+    hits, keyed = _found(corpus, rules, ())
+    n = F.size(F.filter("caps", lambda c: F.array_contains("report", c["name"])))
+    per_file = hits.groupBy("key", "path").agg(F.sum(n).alias("n")).where("n > 0")
+    counts = per_file.groupBy("key").agg(
+        F.sum("n").alias("issues"), F.count(F.lit(1)).alias("files")
+    )
+    return counts.join(keyed, "key").select("rule_no", "rule_id", "severity", "issues", "files")
 
 
 def scan_rule(corpus: DataFrame, rule: Rule) -> DataFrame:
@@ -385,84 +479,65 @@ def scan_rule(corpus: DataFrame, rule: Rule) -> DataFrame:
     return scan_all(corpus, RuleSet([rule]))
 
 
-def _row_condition(caps: Column, w: Column) -> Column:
-    text = F.get(F.filter(caps, lambda x: x["name"] == w["capture"]), F.lit(0))["text"]
-    test = (
-        F.when(w["op"] == "eq", text == w["value"])
-        .when(w["op"] == "match", F.rlike(text, w["value"]))
-        .when(w["op"] == "not_match", ~F.rlike(text, w["value"]))
-    )
-    return F.coalesce(test, F.lit(True))
+# --- rules that cannot run ---------------------------------------------------------
 
 
-def scan_joined(corpus: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Issues for a rule table of any size: facts are joined to the rules that can fit.
+def with_problems(rules: DataFrame) -> DataFrame:
+    """The rule table with ``problem``: why a rule cannot run, null when it can.
 
-    A rule that fixes a capture's text is joined on (language, shape, capture, text), so
-    a fact meets only rules for its own names; the others on (language, shape).
+    Regexes are compiled by Java, which will run them.
     """
-    fixed = F.get(F.filter("where", lambda w: w["op"] == "eq"), F.lit(0))
-    rule = rules.select(
-        F.lower("language").alias("language"),
-        "shape",
-        "rule_no",
-        F.col("id").alias("rule_id"),
-        F.col("name").alias("rule_name"),
-        "severity",
-        "message",
-        "report",
-        F.array_except("where", F.array(fixed)).alias("where"),
-        fixed["capture"].alias("capture"),
-        fixed["value"].alias("text"),
-    )
-    named = rule.where(F.col("capture").isNotNull())
-    open_rules = rule.where(F.col("capture").isNull()).drop("capture", "text")
-    # at most one row per known shape and language comes to the driver
-    known = [f"{lang}/{name}" for lang, name in every_shape()]
-    pair = F.concat_ws("/", "language", "shape")
-    used = rule.select(pair.alias("pair")).where(pair.isin(known)).distinct().collect()
-    found = facts_of(corpus, {tuple(r.pair.split("/")): [()] for r in used}, keep)
-    by_text = found.select(
-        *keep, "path", "language", "shape", "fact_no", "caps", F.explode("caps").alias("c")
-    ).withColumns({"capture": F.col("c.name"), "text": F.col("c.text")})
-    columns = [*keep, "path", "fact_no", "caps", *_RULE, "report", "where"]
-    hit = by_text.join(named, ["language", "shape", "capture", "text"]).select(*columns)
-    rest = found.join(open_rules, ["language", "shape"]).select(*columns)
-    holds = F.forall("where", lambda w: _row_condition(F.col("caps"), w))
-    return _to_issues(hit.unionByName(rest).where(holds), keep)
+    known = {
+        f"{lang}/{name}": sh.captures_of(sh.REGISTRY[name], lang) for lang, name in every_shape()
+    }
+    entries = [x for k, v in known.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
+    pair = F.concat_ws("/", F.lower("language"), "shape")
+    names = F.try_element_at(F.create_map(*entries), pair)
 
+    def first(items: Column) -> Column:
+        return F.get(items, F.lit(0))
 
-# --- rules that cannot run ---------------------------------------------------------
+    def refused(regex: Column) -> Column:
+        compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), regex)
+        return compiled.isNull()
 
+    ops = F.filter(
+        "where", lambda w: ~F.coalesce(w["op"].isin("eq", "match", "not_match"), F.lit(False))
+    )
+    empty = F.filter("where", lambda w: w["capture"].isNull() | w["value"].isNull())
+    tested = F.transform("where", lambda w: w["capture"])
+    used = F.concat(
+        F.coalesce(tested, F.array().cast("array<string>")),
+        F.coalesce("report", F.array().cast("array<string>")),
+    )
+    patterns = F.filter("where", lambda w: (w["op"] != "eq") & refused(w["value"]))
+    problem = (
+        F.when(
+            ~F.coalesce(F.col("shape").isin(list(sh.REGISTRY)), F.lit(False)),
+            F.concat_ws(" ", F.lit("unknown shape"), "shape"),
+        )
+        .when(
+            names.isNull(),
+            F.concat_ws(" ", F.lit("shape"), "shape", F.lit("does not exist in"), "language"),
+        )
+        .when(F.size(ops) > 0, F.concat_ws(" ", F.lit("unknown test"), first(ops)["op"]))
+        .when(F.size(empty) > 0, F.lit("a test without capture or value"))
+        .when(
+            F.size(F.array_except(used, names)) > 0,
+            F.concat_ws(" ", F.lit("unknown capture"), first(F.array_except(used, names))),
+        )
+        .when(F.size(patterns) > 0, F.concat_ws(" ", F.lit("bad pattern"), first(patterns)["value"]))
+    )
+    return rules.withColumn("problem", problem)
 
-def _bad_pattern(regex: str) -> str | None:
-    """Why Java, which will run it, refuses a regex; null when it does not."""
-    jvm = getattr(SparkSession.getActiveSession(), "_jvm", None)
-    if jvm is None:
-        return None
-    try:
-        jvm.java.util.regex.Pattern.compile(regex)
-    except IllegalArgumentException as e:
-        return f"bad pattern {regex}: {e}"
-    return None
-
-
-def _why_unusable(r: Rule) -> str | None:
-    shape = sh.REGISTRY.get(r.shape)
-    if shape is None:
-        return f"unknown shape {r.shape}"
-    if r.language.lower() not in shape.languages:
-        return f"shape {r.shape} does not exist in {r.language}"
-    for c in r.where:
-        if c.op not in ("eq", "match", "not_match"):
-            return f"unknown test {c.op}"
-        if c.op != "eq":
-            why = _bad_pattern(c.value)
-            if why:
-                return why
-    return None
+
+def _refused(rules: RuleSet, spark: SparkSession) -> list[tuple[int, str, str]]:
+    problems = with_problems(rules.to_df(spark)).where(F.col("problem").isNotNull())
+    rows = problems.select("rule_no", "id", "problem").orderBy("rule_no").collect()
+    return [tuple(r) for r in rows]
 
 
 def rule_errors(rules: RuleSet) -> list[tuple[str, str]]:
     """(rule id, reason) of the rules that :func:`scan_all` leaves out."""
-    return [(r.id, why) for r in rules if (why := _why_unusable(r))]
+    spark = SparkSession.getActiveSession()
+    return [(rule_id, why) for _, rule_id, why in _refused(rules, spark)]

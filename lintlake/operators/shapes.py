@@ -239,6 +239,7 @@ class Shape:
     ``anchor`` is the regex the anchor token begins with and ``probe`` one that a text with
     a match contains (None: any text may), both for given conditions.  ``found`` gives, for
     a language and the captures asked for, a cheap test of the neighbours and the matches.
+    ``optional`` names captures that a match may lack.
     """
 
     name: str
@@ -247,6 +248,7 @@ class Shape:
     anchor: Callable[[Where, str], str]
     found: Callable[[str, frozenset[str]], tuple[str, str]]
     probe: Callable[[Where], str | None] = lambda where: None
+    optional: tuple[str, ...] = ()
 
 
 REGISTRY: dict[str, Shape] = {}
@@ -257,6 +259,12 @@ def register(shape: Shape) -> Shape:
     return shape
 
 
+def captures_of(shape: Shape, lang: str) -> tuple[str, ...]:
+    """Captures that the matches of a shape have in one language."""
+    _, found = shape.found(lang, frozenset(shape.captures))
+    return tuple(c for c in shape.captures if f"{quoted(c)} as name" in found)
+
+
 def _name_anchor(capture: str):
     def anchor(where: Where, lang: str) -> str:
         words = literals(where, capture)
@@ -276,6 +284,11 @@ def _name_probe(*captures: str):
     return probe
 
 
+def _holds_in_context(regex: str) -> bool:
+    """A match inside a capture is one in the whole file too: no anchors, no look-around."""
+    return not re.search(r"[\^$\\]|\(\?[=!<]", regex)
+
+
 def _const(regex: str):
     return lambda where, lang: regex
 
@@ -354,6 +367,7 @@ register(
         _name_anchor("obj"),
         _member_call,
         _name_probe("obj", "prop", "method"),
+        optional=("arg",),
     )
 )
 
@@ -557,7 +571,7 @@ def _comment(lang: str, needs: frozenset[str]) -> tuple[str, str]:
 
 def _comment_probe(where: Where) -> str | None:
     for c in where:
-        if c.op == "match" and not re.search(r"[\^$\\]", c.value):
+        if c.op == "match" and _holds_in_context(c.value):
             return c.value
         if c.op == "eq":
             return re.escape(c.value)
@@ -675,7 +689,7 @@ def _assign_probe(where: Where) -> str | None:
     if words:
         return words
     for c in where:
-        if c.capture == "name" and c.op == "match" and not re.search(r"[\^$\\]", c.value):
+        if c.capture == "name" and c.op == "match" and _holds_in_context(c.value):
             return c.value
     return None
 

@@ -100,6 +100,30 @@ def rule_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def odd_rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule table with faults by rule number modulo 7.
+
+    1: unknown test; 2: broken regex; 3: unknown shape; 4: unknown capture; 5: a shape that
+    only scripts have.
+    """
+    kind = F.col("rule_no") % 7
+
+    def one(op: str, value: Column, capture: str = "fn") -> Column:
+        return F.array(F.struct(F.lit(capture).alias("capture"), F.lit(op).alias("op"), value.alias("value")))
+
+    word = F.col("where")[0]["value"]
+    where = (
+        F.when(kind == 1, one("like", word))
+        .when(kind == 2, one("match", F.lit("(")))
+        .when(kind == 4, one("eq", word, "fnn"))
+        .when(kind == 5, F.array().cast(schemas.WHERE))
+        .otherwise(F.col("where"))
+    )
+    shape = F.when(kind == 3, "no_shape").when(kind == 5, "jsx_attr").otherwise(F.col("shape"))
+    report = F.when(kind == 5, F.array().cast("array<string>")).otherwise(F.col("report"))
+    return rule_table(spark, sf).withColumns({"where": where, "shape": shape, "report": report})
+
+
 # --- warehouse -----------------------------------------------------------------------
 
 POLICIES = (

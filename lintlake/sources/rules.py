@@ -7,8 +7,10 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lintlake import schemas
 from lintlake.operators.shapes import Condition
@@ -60,42 +62,12 @@ class RuleSet:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (
-                r.rule_no,
-                r.id,
-                r.name,
-                r.severity,
-                r.language,
-                r.message,
-                r.metadata,
-                r.shape,
-                [(c.capture, c.op, c.value) for c in r.where],
-                list(r.report),
-            )
+            {**r.__dict__, "where": [c.__dict__ for c in r.where], "report": list(r.report)}
             for r in self
         ]
-        return spark.createDataFrame(rows, schemas.RULES)
-
-
-def rules_of(df: DataFrame, limit: int) -> RuleSet | None:
-    """The rule table as a rule set, or None when it has more than ``limit`` rows."""
-    rows = df.orderBy("rule_no").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return RuleSet(
-        Rule(
-            id=r.id,
-            name=r.name,
-            severity=r.severity,
-            language=r.language,
-            message=r.message,
-            shape=r["shape"],
-            where=tuple(Condition(c.capture, c.op, c.value) for c in (r["where"] or [])),
-            report=tuple(r.report or []),
-            metadata=r.metadata,
-        )
-        for r in rows
-    )
+        schema = schemas.struct_of(schemas.RULES)
+        # from Arrow, Spark knows the table's size when it chooses a join
+        return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema)), schema)
 
 
 def _from_mapping(n: int, raw: Any) -> Rule:

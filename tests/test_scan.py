@@ -1,6 +1,7 @@
 """Shapes and rules on small texts: one hit and near misses each, and exact positions."""
 
 import ast
+import dataclasses
 import json
 import sysconfig
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lintlake import schemas
 from lintlake.operators import scan as sc
 from lintlake.operators.pyast import python_ast_facts
+from lintlake.operators.shapes import Condition
 from lintlake.plans.catalog import bundled_rules, documented_settimeout
 from lintlake.sources.rules import Rule, RuleSet, parse_rules
 
@@ -240,14 +242,64 @@ def test_unusable_rules_are_named_and_skipped(spark):
     assert [r.rule_id for r in issues] == ["js-no-eval"]
 
 
-def test_rule_table_gives_the_same_as_compiled_rules(spark):
+def _issues_of(rows):
+    return sorted((r.rule_id, r.start_line, r.start_column, r.code_snippet) for r in rows)
+
+
+def test_rule_table_gives_the_same_as_a_rule_set(spark):
     rules = RuleSet(r for r in bundled_rules() if r.language == "javascript")
     code = corpus(spark, js=BAD + "\nconst n = 5; // TODO\nalert(1); setTimeout('x')")
-    table = rules.to_df(spark)
-    compiled = sc.scan_all(code, table).collect()
-    joined = sc.scan_joined(code, table).collect()
-    keep = lambda rows: sorted((r.rule_id, r.start_line, r.start_column) for r in rows)
-    assert keep(compiled) == keep(joined) and compiled
+    one = sc.scan_all(code, rules).collect()
+    assert _issues_of(one) == _issues_of(sc.scan_all(code, rules.to_df(spark)).collect()) and one
+
+
+def test_any_number_of_rules_gives_the_same_rows(spark):
+    code = corpus(spark, js=BAD + "\nalert(1); o.m('x'); o.m(); p.log(o.eval)")
+    base = [r for r in bundled_rules() if r.language == "javascript"][:6]
+    bad = [
+        dataclasses.replace(base[0], id="op", where=(Condition("fn", "like", "x"),)),
+        dataclasses.replace(base[0], id="regex", where=(Condition("fn", "match", "("),)),
+        dataclasses.replace(base[0], id="shape", shape="no_shape"),
+        Rule("capture", "c", "note", "javascript", "m", "member_call", (Condition("prp", "eq", "log"),), ("obj",)),
+        Rule("report", "c", "note", "javascript", "m", "member_call", (), ("method",)),
+    ]
+    many = [
+        Rule(f"n{k}", "n", "note", "javascript", "m", "call", (Condition("fn", "eq", f"f{k}"),), ("fn",))
+        for k in range(1000)
+    ]
+    small, large = RuleSet([*base, *bad]), RuleSet([*base, *bad, *many])
+    want = _issues_of(sc.scan_all(code, RuleSet(base)).collect())
+    for rules in (small, large, small.to_df(spark), large.to_df(spark)):
+        assert _issues_of(sc.scan_all(code, rules).collect()) == want and want
+    assert {e[0] for e in sc.rule_errors(large)} == {"op", "regex", "shape", "capture", "report"}
+
+
+def test_condition_on_an_absent_capture_holds_for_sets_and_tables(spark):
+    rule = Rule("r", "r", "note", "javascript", "m", "member_call", (Condition("arg", "eq", "'x'"),), ("obj",))
+    code = corpus(spark, js="o.m('x'); p.m(1); q.m('y')")
+    for rules in (RuleSet([rule]), RuleSet([rule]).to_df(spark)):
+        got = sc.scan_all(code, rules).collect()
+        assert sorted(r.code_snippet for r in got) == ["o", "p"]
+
+
+def test_no_usable_rule_keeps_the_columns(spark):
+    code = corpus(spark, js="eval(1)")
+    full = sc.scan_all(code, bundled_rules(), keep=["content_sha"])
+    none = sc.scan_all(code, RuleSet([]), keep=["content_sha"])
+    assert none.columns == full.columns and none.count() == 0
+
+
+def test_probe_with_look_around_drops_no_file(spark):
+    rule = Rule("t", "t", "note", "javascript", "m", "comment", (Condition("comment", "match", "TODO(?!.)"),), ("comment",))
+    got = sc.scan_all(corpus(spark, js="/*TODO*/x // TODO"), RuleSet([rule])).collect()
+    assert [r.code_snippet for r in got] == ["// TODO"]
+
+
+def test_counts_per_rule(spark):
+    two = [Rule(f"c{k}", "c", "note", "javascript", "m", "call", (Condition("fn", "eq", "f"),), ("fn",)) for k in (1, 2)]
+    code = corpus(spark, js="f(1); f(2)", js_b="g(1)")
+    rows = sc.rule_issue_counts(code, RuleSet(two)).collect()
+    assert sorted((r.rule_id, r.issues, r.files) for r in rows) == [("c1", 2, 1), ("c2", 2, 1)]
 
 
 def test_python_spans_equal_the_syntax_tree(spark):
