@@ -13,6 +13,11 @@ def of_tenant(repos: DataFrame, org_id: int | str) -> DataFrame:
     return repos.where(F.col("org_id") == F.lit(org_id))
 
 
+def _findings_of_tenant(findings: DataFrame, org_id: int | str) -> DataFrame:
+    """Where findings name their organization, only its partitions are read."""
+    return of_tenant(findings, org_id) if "org_id" in findings.columns else findings
+
+
 def latest_scans(scans: DataFrame) -> DataFrame:
     """Newest scan per repository; equal times are decided by the id.
 
@@ -39,10 +44,12 @@ def findings_per_scan(findings: DataFrame) -> DataFrame:
 def latest_scan_counts(scans: DataFrame, findings: DataFrame) -> DataFrame:
     """Latest scan per repository with the number of its findings (0 when none).
 
-    Findings are counted per scan before the join: each task sends one row per scan it
-    holds, so neither the table's size nor a scan with most of the findings matters.
+    Findings of other scans are left out first.  The rest is counted per scan before the
+    join: each task sends one row per scan it holds, so a scan with most of the findings is
+    no hot partition.
     """
-    latest, counts = latest_scans(scans), findings_per_scan(findings)
+    latest = latest_scans(scans)
+    counts = findings_per_scan(findings.join(latest.select("scan_id"), "scan_id", "left_semi"))
     return latest.join(counts, "scan_id", "left").withColumn(
         "findings_count", F.coalesce("findings_count", F.lit(0))
     )
@@ -56,6 +63,7 @@ def repo_overview(
         repos = of_tenant(repos, org_id)
         own = repos.select(F.col("id").alias("repo_id"))
         scans = scans.join(own, "repo_id", "left_semi")
+        findings = _findings_of_tenant(findings, org_id)
     latest = latest_scan_counts(scans, findings)
     return repos.join(latest, repos["id"] == latest["repo_id"], "left").select(
         F.col("github_repo").alias("repo"),
@@ -80,7 +88,7 @@ def findings_with_context(
         repos.select(F.col("id").alias("repo_id"), "org_id", F.col("github_repo").alias("repo")),
         "repo_id",
     )
-    return findings.join(context, "scan_id")
+    return findings.drop("org_id").join(context, "scan_id")
 
 
 def with_severity(findings: DataFrame, severity: str | None) -> DataFrame:
@@ -107,5 +115,6 @@ def findings_page(
 ) -> DataFrame:
     if org_id is not None:
         repos = of_tenant(repos, org_id)
+        findings = _findings_of_tenant(findings, org_id)
     rows = findings_with_context(with_severity(findings, severity), scans, repos)
     return top_findings(rows.select(*_PAGE), limit)

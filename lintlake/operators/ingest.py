@@ -30,6 +30,17 @@ def repo_key(org_id: Column, repo: Column) -> Column:
     return F.sha2(F.concat_ws("/", org_id.cast("string"), repo), 256)
 
 
+# Microseconds from year 1 to 1970, so that the number is never negative.
+_YEAR_ONE = 62_135_596_800_000_000
+
+
+def scan_key(submitted_at: Column, submission_id: Column) -> Column:
+    """Id of a scan: ids sort by time of submission, and a retry gives the same id."""
+    micros = F.unix_micros(submitted_at.cast("timestamp")) + F.lit(_YEAR_ONE)
+    at = F.lpad(F.coalesce(micros, F.lit(0)).cast("string"), 18, "0")
+    return F.concat_ws("-", at, F.sha2(submission_id, 256))
+
+
 def repo_upsert(repos: DataFrame, wanted: DataFrame) -> DataFrame:
     """Repositories that are not there yet, one row per (org_id, github_repo)."""
     keys = ["org_id", "github_repo"]
@@ -69,7 +80,7 @@ def ingest_scans(
 ) -> Ingested:
     """Judge a batch of submissions and make the rows it adds.
 
-    The scan id is made from the submission id, so a retried task or batch gives the same
+    The scan id is made from the submission's time and id, so a retried task or batch gives the same
     rows, and the same commit submitted twice is two scans.  A line number beyond 32 bits
     sends its document to quarantine.  All outputs come from the parsed batch: ``store``
     may persist or write it, so that documents are parsed once.
@@ -78,7 +89,9 @@ def ingest_scans(
     wide = F.exists("results", lambda x: F.abs(x["line"]) > 2147483647)
     reason = F.coalesce("reason", F.when(wide, F.lit("line number")))
     parsed = store(parsed.withColumn("reason", reason))
-    good = sarif.accepted(parsed).withColumn("scan_id", F.sha2("submission_id", 256))
+    good = sarif.accepted(parsed).withColumn(
+        "scan_id", scan_key(F.col("submitted_at"), F.col("submission_id"))
+    )
     policies = orgs.select(
         F.col("id").alias("org_id"),
         S.parse_policy(F.col("policy_json"))["fail_on_severity"].alias("fail_on_severity"),

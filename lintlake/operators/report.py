@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,33 +14,9 @@ from lintlake import __version__, schemas
 
 TOOL = "lintlake"
 TOOL_URI = "https://lintlake.invalid/"
-# Issues in one document; a larger group is written as several whole documents.
-MAX_RESULTS = 20_000
-
 _ORDER = ("file_path", "rule_no", "fact_no", "cap_no")
 
 
-def _in_parts(issues: DataFrame, by: Sequence[str], max_results: int) -> DataFrame:
-    """Issues with ``part_no``: 0 for groups that fit one document, else spread evenly.
-
-    Only groups over the limit need a look-up; there are at most issues / limit of them.
-    """
-    spread = F.xxhash64(*_ORDER)
-    single = not by
-    if single:
-        issues, by = issues.withColumn("_all", F.lit(1)), ["_all"]
-    sizes = issues.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > max_results).select(
-        *by, F.ceil(F.col("_n") / max_results).alias("_parts")
-    )
-    if single:
-        # one row: the sizes of one group
-        large = F.broadcast(large)
-    marked = issues.join(large, list(by), "left")
-    part = F.pmod(spread, F.coalesce("_parts", F.lit(1)))
-    return marked.withColumn("part_no", part.cast("int")).drop("_parts", "_all")
-
-
 def sarif_result() -> Column:
     """One issue as a SARIF result with exactly one location."""
     region = F.struct(
@@ -109,65 +88,133 @@ def _rule_entry(x: Column) -> Column:
     )
 
 
-def to_sarif(
-    issues: DataFrame, by: Sequence[str] = (), max_results: int = MAX_RESULTS
-) -> DataFrame:
-    """SARIF documents: one row ``(*by, part_no, sarif)`` per group.
+def to_sarif(issues: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """SARIF documents as values: one row ``(*by, sarif)`` per group, results in issue order.
 
-    Results are in issue order in one run.  A group with more than ``max_results`` issues
-    becomes several documents, each valid by itself, so no row grows without bound.
-    ``issues`` is read twice (sizes, then documents): give a written or cached table when
-    it is costly to compute.
+    A group becomes one row, so this is for groups that are documents in a table, such as
+    the issues of one file; :func:`sarif_lines` writes reports of any size.
     Without ``by`` and without issues there is one document without results.
     """
-    marked = _in_parts(issues, by, max_results)
     item = F.struct(*_ORDER, "rule_id", "rule_name", "message", "severity", sarif_result().alias("item"))
-    listed = marked.groupBy(*by, "part_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = issues.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     first_seen = F.transform(
         F.array_distinct("items.rule_id"),
         lambda rule_id: F.get(F.filter("items", lambda x: x["rule_id"] == rule_id), F.lit(0)),
     )
     docs = listed.select(
         *by,
-        "part_no",
         F.transform(first_seen, _rule_entry).alias("rules"),
         F.transform("items", lambda x: x["item"]).alias("results"),
     )
-    text = F.to_json(_log(F.col("rules"), F.col("results")))
-    docs = docs.select(*by, "part_no", text.alias("sarif"))
-    return docs if by else _or_empty(docs, "sarif", F.to_json(_log(_no_rules(), _no_results())))
+    return docs.select(*by, F.to_json(_log(F.col("rules"), F.col("results"))).alias("sarif"))
 
 
-def _no_rules() -> Column:
-    return F.from_json(F.lit("[]"), "array<struct<id:string>>")
+def to_json_report(issues: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """JSON reports as values ``(*by, report)``, issues in order; one row per group."""
+    issue = F.struct(*[F.col(c) for c in schemas.ISSUE_COLUMNS])
+    item = F.struct(*[F.col(c).alias(f"o_{c}") for c in _ORDER], issue.alias("item"))
+    docs = issues.groupBy(*by).agg(_ordered(F.collect_list(item)).alias("issues"))
+    report = F.struct(F.lit(schemas.JSON_REPORT_VERSION).alias("version"), "issues")
+    return docs.select(*by, F.to_json(report).alias("report"))
 
 
-def _no_results() -> Column:
-    return F.from_json(F.lit("[]"), "array<struct<ruleId:string>>")
+# --- reports of any size, as ordered lines -------------------------------------------
 
+_SORT = ("section", *_ORDER)
 
-def _or_empty(docs: DataFrame, name: str, empty: Column) -> DataFrame:
-    """The documents, or one empty document when there are none."""
-    first = docs.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    return docs.unionByName(first.select(F.lit(0).alias("part_no"), empty.alias(name)))
 
+def _listed(items: DataFrame, by: Sequence[str], section: int) -> DataFrame:
+    """Items ``(*by, *_ORDER, text)`` as lines, a comma before all but a group's first.
 
-def to_json_report(
-    issues: DataFrame, by: Sequence[str] = (), max_results: int = MAX_RESULTS
-) -> DataFrame:
-    """JSON reports ``(*by, part_no, report)`` with the issues in order."""
-    marked = _in_parts(issues, by, max_results)
-    issue = F.struct(*[F.col(c) for c in schemas.ISSUE_COLUMNS])
-    item = F.struct(*[F.col(c).alias(f"o_{c}") for c in _ORDER], issue.alias("item"))
-    docs = marked.groupBy(*by, "part_no").agg(_ordered(F.collect_list(item)).alias("issues"))
+    Equal items are counted before the shuffle.  The first of a group is found by an
+    aggregate and joined on the whole row, so a large group is spread over all tasks.
+    """
+    row = [*by, *_ORDER, "text"]
+    counted = items.groupBy(*row).agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(*_ORDER, "text")).alias("f")
+    first = items.groupBy(*by).agg(least).select(*by, "f.*").where("text is not null")
+    first = first.select(*[F.col(c).alias(f"_{c}") for c in row])
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in row])
+    lines = counted.join(first, same, "left").select(
+        *row, F.col("_text").isNotNull().alias("first"), F.explode(F.expr("sequence(1, n)")).alias("k")
+    )
+    lead = F.when(F.col("first") & (F.col("k") == 1), "").otherwise(",")
+    return lines.select(
+        *by, F.lit(section).alias("section"), *_ORDER, "text", "k", lead.alias("lead")
+    )
+
+
+def _fixed(issues: DataFrame, by: Sequence[str], texts: dict[int, str]) -> DataFrame:
+    """Fixed lines of every group; without groups there is one report, also of no issue."""
+    groups = issues.select(*by).distinct() if by else issues.sparkSession.range(1).select()
+    parts = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(t).alias("text")) for n, t in texts.items()])
+    types = {f.name: f.dataType for f in issues.schema}
+    none = [F.lit(None).cast(types[c]).alias(c) for c in _ORDER]
+    lines = groups.select(*by, F.explode(parts).alias("p"))
+    once = [F.lit(1).alias("k"), F.lit("").alias("lead")]
+    return lines.select(*by, "p.section", *none, "p.text", *once)
+
+
+def _in_order(by: Sequence[str], *parts: DataFrame) -> DataFrame:
+    lines = functools.reduce(DataFrame.unionByName, parts)
+    # the comma joins the text after the sort, so the first of equal lines stays first
+    ordered = lines.orderBy(*by, *_SORT, "text", "k")
+    return ordered.select(*by, *_SORT, F.concat("lead", "text").alias("text"))
+
+
+def sarif_lines(issues: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """SARIF reports of any size: sorted lines ``(*by, section, order columns, text)``.
+
+    The texts of a group, one after the other, are one document with one run: head, rules by
+    first issue, results in issue order, foot.  ``issues`` is read several times: give a
+    written table when it is costly to compute.
+    """
+    mark = "@"
+    shell = {
+        "version": schemas.SARIF_VERSION,
+        "$schema": schemas.SARIF_SCHEMA_URI,
+        "runs": [
+            {
+                "tool": {
+                    "driver": {
+                        "name": TOOL,
+                        "version": __version__,
+                        "informationUri": TOOL_URI,
+                        "rules": [mark],
+                    }
+                },
+                "results": [mark],
+            }
+        ],
+    }
+    head, middle, foot = json.dumps(shell, separators=(",", ":")).split(f'"{mark}"')
+    entry = F.struct(
+        F.col("rule_id").alias("id"),
+        "name",
+        F.struct("text").alias("shortDescription"),
+        F.struct("level").alias("defaultConfiguration"),
+    )
+    rules = sarif_rules(issues, by).select(*by, "first_at.*", F.to_json(entry).alias("text"))
+    results = issues.select(*by, *_ORDER, F.to_json(sarif_result()).alias("text"))
+    return _in_order(
+        by,
+        _fixed(issues, by, {0: head, 2: middle, 4: foot}),
+        _listed(rules, by, 1),
+        _listed(results, by, 3),
+    )
+
+
+def json_lines(issues: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """JSON reports of any size as sorted lines, see :func:`sarif_lines`."""
+    head = f'{{"version":"{schemas.JSON_REPORT_VERSION}","issues":['
+    issue = F.to_json(F.struct(*schemas.ISSUE_COLUMNS))
+    rows = issues.select(*by, *_ORDER, issue.alias("text"))
+    return _in_order(by, _fixed(issues, by, {0: head, 2: "]}"}), _listed(rows, by, 1))
 
-    def report(found: Column) -> Column:
-        return F.to_json(
-            F.struct(F.lit(schemas.JSON_REPORT_VERSION).alias("version"), found.alias("issues"))
-        )
 
-    docs = docs.select(*by, "part_no", report(F.col("issues")).alias("report"))
-    return docs if by else _or_empty(docs, "report", report(_no_results()))
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One report; its files, one after the other by name, are the document."""
+    lines.select("text").write.mode("overwrite").text(path)
 
 
 def write_documents(docs: DataFrame, column: str, path: str) -> None:

@@ -116,7 +116,8 @@ submitted AS (
   SELECT s.id, s.id || '-0' AS submission_id, s.commit_sha, s.branch, s.created_at, r.github_repo AS repo,
     r.org_id, s.id % 11 AS kind, o.fails, o.id % 7 <> 6 AS known
   FROM raw_scans s JOIN repos r ON r.id = s.repo_id JOIN orgs o ON o.id = r.org_id),
-accepted AS (SELECT *, sha256(submission_id) AS scan_id FROM submitted WHERE kind <> 3 AND known),
+accepted AS (SELECT *, lpad(CAST(epoch_us(CAST(created_at AS TIMESTAMP)) + 62135596800000000 AS VARCHAR), 18, '0')
+    || '-' || sha256(submission_id) AS scan_id FROM submitted WHERE kind <> 3 AND known),
 results AS (
   SELECT a.scan_id, a.submission_id, a.org_id, f.rule_id, CASE WHEN a.kind = 5 THEN 'note' ELSE f.severity END AS severity,
     CASE WHEN a.kind = 9 THEN '' ELSE f.file_path END AS file_path,

@@ -229,7 +229,6 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(0).alias("fact_no"),
         F.lit(0).alias("cap_no"),
     )
-    parted = report._in_parts(issues, ["scan_id"], report.MAX_RESULTS)
     kind = F.col("scan_id") % 11
     result = report.sarif_result()
     bare = F.struct(
@@ -238,7 +237,7 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
         F.slice(result["locations"], F.lit(1), F.when(kind == 9, 0).otherwise(1)).alias("locations"),
     )
     entry = F.struct("rule_id", F.col("rule_id").alias("rule_name"), "message", "severity")
-    docs = parted.groupBy("scan_id", "part_no").agg(
+    docs = issues.groupBy("scan_id").agg(
         F.array_sort(F.collect_list(bare)).alias("results"),
         F.array_sort(F.collect_list(entry)).alias("entries"),
     )
@@ -273,7 +272,7 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("repo_id"), "org_id", F.col("github_repo").alias("repo")
     )
     return joined.join(owners, "repo_id").select(
-        F.concat_ws("-", F.col("id").cast("string"), F.coalesce("part_no", F.lit(0)).cast("string")).alias("submission_id"),
+        F.concat(F.col("id").cast("string"), F.lit("-0")).alias("submission_id"),
         F.concat(F.lit("key-"), F.col("org_id").cast("string")).alias("key"),
         F.when(kind == 3, broken).otherwise(text).alias("sarif"),
         "repo",

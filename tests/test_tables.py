@@ -132,27 +132,55 @@ def test_sarif_document(spark):
     }
 
 
+def _joined(lines):
+    return "".join(r.text for r in lines.collect())
+
+
 def test_empty_reports_and_exit_status(spark):
     none = _issues(spark, "ok()")
-    assert json.loads(report.to_sarif(none).collect()[0].sarif)["runs"][0]["results"] == []
-    assert json.loads(report.to_json_report(none).collect()[0].report) == {
-        "version": "1.0.0", "issues": [],
-    }
+    assert json.loads(_joined(report.sarif_lines(none)))["runs"][0]["results"] == []
+    assert json.loads(_joined(report.json_lines(none))) == {"version": "1.0.0", "issues": []}
     assert report.exit_status(none).collect()[0].exit_status == 0
     assert report.exit_status(_issues(spark)).collect()[0].exit_status == 1
 
 
-def test_large_groups_become_several_documents(spark):
-    issues = _issues(spark, "eval(1);" * 100).withColumn("repo", F.lit("r"))
-    small = report.to_sarif(issues, by=["repo"]).collect()
-    parts = report.to_sarif(issues, by=["repo"], max_results=30).collect()
-    assert [r.part_no for r in small] == [0] and len(parts) > 1
-    results = [
-        x["locations"][0]["physicalLocation"]["region"]["startColumn"]
-        for p in parts
-        for x in json.loads(p.sarif)["runs"][0]["results"]
-    ]
-    assert sorted(results) == [1 + 8 * n for n in range(100)]
+def test_lines_and_value_are_the_same_document(spark):
+    issues = _issues(spark)
+    assert json.loads(_joined(report.sarif_lines(issues))) == json.loads(
+        report.to_sarif(issues).collect()[0].sarif
+    )
+    assert json.loads(_joined(report.json_lines(issues))) == json.loads(
+        report.to_json_report(issues).collect()[0].report
+    )
+
+
+def test_large_report_is_one_document_in_order(spark, tmp_path):
+    n = 100_000
+    issues = spark.range(n).selectExpr(
+        "'r' as rule_id", "'r' as rule_name", "'note' as severity", "'m' as message",
+        "if(id % 3 = 0, null, concat('f', id % 50)) as file_path", "cast(id as int) as start_line",
+        "1 as start_column", "cast(id as int) as end_line", "2 as end_column", "'x' as code_snippet",
+        "0 as rule_no", "cast(id as int) as fact_no", "0 as cap_no",
+    )
+    # a repeated row stays
+    issues = stored(issues.unionByName(issues.limit(1)), f"{tmp_path}/issues")
+    report.write_lines(report.sarif_lines(issues), f"{tmp_path}/report")
+    files = sorted(p for p in (tmp_path / "report").iterdir() if p.name.startswith("part-"))
+    doc = json.loads("".join(p.read_text() for p in files))
+    results = doc["runs"][0]["results"]
+    places = [x["locations"][0]["physicalLocation"] for x in results]
+    order = [(p["artifactLocation"].get("uri", ""), p["region"]["startLine"]) for p in places]
+    assert len(results) == n + 1 and order == sorted(order)
+    assert len(doc["runs"][0]["tool"]["driver"]["rules"]) == 1
+
+
+def test_lines_of_groups(spark):
+    issues = _issues(spark).withColumn("repo", F.when(F.col("rule_id").startswith("js-"), "a"))
+    texts = {}
+    for r in report.json_lines(issues, by=["repo"]).collect():
+        texts[r.repo] = texts.get(r.repo, "") + r.text
+    sizes = {k: len(json.loads(v)["issues"]) for k, v in texts.items()}
+    assert sizes == {"a": 5, None: 2}
 
 
 def _doc(results, rules, **extra):
@@ -265,6 +293,40 @@ def test_incremental_scan_equals_full_scan_and_reuses(spark, sf):
     assert rescanned.count() == code.count()
 
 
+def test_incremental_scan_keeps_files_of_one_path_apart(spark):
+    rules = bundled_rules().only("js-no-eval")
+    rows = [("a.js", "javascript", t, str(k)) for k, t in ((1, "eval(1)"), (2, "f();eval(2);eval(3)"), (1, "eval(1)"))]
+    code = spark.createDataFrame(rows, schemas.CORPUS)
+    full = sorted(map(repr, sc.scan_all(code, rules).collect()))
+    folder = shared_folder(spark)
+    empty = spark.createDataFrame([], inc.CACHE)
+    first, entries = inc.incremental_scan(code, rules, empty, lambda d: stored(d, f"{folder}/a"))
+    assert sorted(map(repr, first.collect())) == full and entries.count() == 2
+    table = stored(inc.put(empty, entries), f"{folder}/table")
+    late = code.unionByName(spark.createDataFrame([("b.js", "javascript", "eval(4)", "4")], schemas.CORPUS))
+    again, new = inc.incremental_scan(late, rules, table)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, sc.scan_all(late, rules).collect()))
+    assert new.count() == 1
+
+
+def test_overview_reads_only_what_it_counts(spark, tmp_path):
+    repos = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "id int, org_id int, github_repo string")
+    t = datetime(2024, 1, 1)
+    scans = spark.createDataFrame(
+        [(1, 1, t, True), (2, 2, t, False)], "id int, repo_id int, created_at timestamp, passed boolean"
+    )
+    findings = spark.createDataFrame(
+        [("x", 1, 1, "note", "r", "f", 1, "m"), ("y", 2, 2, "note", "r", "f", 1, "m")],
+        "id string, scan_id int, org_id int, severity string, rule_id string, file_path string, line_number int, message string",
+    )
+    ing.append(findings, f"{tmp_path}/f", "org_id")
+    kept = spark.read.schema(findings.schema).parquet(f"{tmp_path}/f")
+    for rows in (D.repo_overview(repos, scans, kept, 1), D.findings_page(kept, scans, repos, 1)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(org_id" in plan
+        assert [r.repo for r in rows.collect()] == ["a"]
+
+
 def test_overview_ties_and_repositories_without_scans(spark):
     repos = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")], "id int, org_id int, github_repo string")
     t = datetime(2024, 1, 1)
@@ -281,7 +343,8 @@ def test_overview_ties_and_repositories_without_scans(spark):
 
 SAMPLE = (
     "st_ingest st_gate st_scan st_inc st_repo_state scan_all findings_page repo_overview "
-    "ingest_findings sink_sarif s_policy_parse"
+    "ingest_findings sink_sarif s_policy_parse findings_page_ingested sink_sarif_whole "
+    "inc_scan rule_problems j_file_rule sink_json"
 ).split()
 
 
@@ -301,12 +364,3 @@ def test_registered_query_equals_its_sql(spark, sf, name):
 
 def test_every_query_has_expected_rows():
     assert set(q.QUERIES) == set(q.ORACLE)
-
-
-def test_one_large_report_without_groups(spark):
-    issues = _issues(spark, "eval(1);" * 100)
-    docs = report.to_sarif(issues, max_results=30).collect()
-    counts = [len(json.loads(d.sarif)["runs"][0]["results"]) for d in docs]
-    assert len(docs) > 1 and sum(counts) == 100
-    pages = report.to_json_report(issues, max_results=30).collect()
-    assert sum(len(json.loads(p.report)["issues"]) for p in pages) == 100
