@@ -922,21 +922,17 @@ def j_resolve_rules(spark, sf):
 # --- reports -------------------------------------------------------------------------
 
 
-def _js_issues(spark, sf) -> DataFrame:
-    rules = R.RuleSet(r for r in bundled_rules() if r.language == "javascript")
-    return sc.scan_all(V.code_corpus(spark, sf, "javascript"), rules)
-
-
-_NOT_OTHER = "rule_id NOT LIKE 'py-%' AND rule_id NOT LIKE 'ts-%' AND rule_id NOT LIKE 'html-%'"
+def _all_issues(spark, sf) -> DataFrame:
+    return sc.scan_all(V.all_code(spark, sf), bundled_rules())
 
 
 @query(
     "sink_sarif",
-    f"{_ALL} SELECT file_path, rule_id, severity, start_line, message, count(*) AS n FROM issues WHERE {_NOT_OTHER} GROUP BY ALL",
+    f"{_ALL} SELECT file_path, rule_id, severity, start_line, message, count(*) AS n FROM issues GROUP BY ALL",
 )
 def sink_sarif(spark, sf):
     """One document per file, opened again as SARIF; the issues are computed once."""
-    issues = stored(_js_issues(spark, sf), shared_folder(spark))
+    issues = stored(_all_issues(spark, sf), shared_folder(spark))
     docs = report.to_sarif(issues, by=["file_path"])
     parsed = sarif.accepted(sarif.parse_sarif(docs.withColumnRenamed("file_path", "doc")))
     rows = sarif.findings_of(parsed, "doc")
@@ -947,10 +943,10 @@ def sink_sarif(spark, sf):
 
 @query(
     "sink_json",
-    f"{_ALL} SELECT file_path, '1.0.0' AS version, count(*) AS n, CAST(sum(start_column) AS BIGINT) AS columns FROM issues WHERE {_NOT_OTHER} GROUP BY file_path",
+    f"{_ALL} SELECT file_path, '1.0.0' AS version, count(*) AS n, CAST(sum(start_column) AS BIGINT) AS columns FROM issues GROUP BY file_path",
 )
 def sink_json(spark, sf):
-    issues = stored(_js_issues(spark, sf), shared_folder(spark))
+    issues = stored(_all_issues(spark, sf), shared_folder(spark))
     docs = report.to_json_report(issues, by=["file_path"])
     back = F.from_json("report", "struct<version:string,issues:array<struct<start_column:bigint>>>")
     read = docs.select("file_path", back.alias("r"))
@@ -1008,29 +1004,29 @@ def p_sarif_result(spark, sf):
 
 
 _FIRST = (
-    f"{_ALL}, o AS (SELECT *, row_number() OVER (PARTITION BY file_path, rule_id ORDER BY rule_no, start_line, start_column) AS k FROM issues WHERE {_NOT_OTHER}) "
+    f"{_ALL}, o AS (SELECT *, row_number() OVER (PARTITION BY file_path, rule_id ORDER BY rule_no, start_line, start_column) AS k FROM issues) "
 )
 
 
 @query("a_sarif_rules", _FIRST + "SELECT file_path, rule_id, rule_name AS name, message AS text, severity AS level FROM o WHERE k = 1")
 def a_sarif_rules(spark, sf):
-    rules = report.sarif_rules(_js_issues(spark, sf).withColumn("doc", F.col("file_path")), by=["doc"])
+    rules = report.sarif_rules(_all_issues(spark, sf).withColumn("doc", F.col("file_path")), by=["doc"])
     return rules.select(F.col("doc").alias("file_path"), "rule_id", "name", "text", "level")
 
 
 @query("w_first_seen_rule", _FIRST + "SELECT file_path, rule_id, start_line, start_column, code_snippet FROM o WHERE k = 1")
 def w_first_seen_rule(spark, sf):
     first = F.min_by(F.struct("start_line", "start_column", "code_snippet"), F.struct("rule_no", "fact_no", "cap_no"))
-    grouped = _js_issues(spark, sf).groupBy("file_path", "rule_id").agg(first.alias("f"))
+    grouped = _all_issues(spark, sf).groupBy("file_path", "rule_id").agg(first.alias("f"))
     return grouped.select("file_path", "rule_id", "f.*")
 
 
 @query(
     "a_exit_status",
-    f"{_ALL} SELECT CASE WHEN count(*) = 0 THEN 0 ELSE 1 END AS exit_status, count(*) AS issues FROM issues WHERE {_NOT_OTHER}",
+    f"{_ALL} SELECT CASE WHEN count(*) = 0 THEN 0 ELSE 1 END AS exit_status, count(*) AS issues FROM issues",
 )
 def a_exit_status(spark, sf):
-    return report.exit_status(_js_issues(spark, sf))
+    return report.exit_status(_all_issues(spark, sf))
 
 
 # --- incremental ---------------------------------------------------------------------
@@ -1084,7 +1080,10 @@ def m_cache_clear(spark, sf):
 query("a_cache_empty", ORACLE["a_cache_len"])(a_cache_len)
 
 
-@query("inc_scan", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_NOT_OTHER}")
+_JS_ONLY = "rule_id NOT LIKE 'py-%' AND rule_id NOT LIKE 'ts-%' AND rule_id NOT LIKE 'html-%'"
+
+
+@query("inc_scan", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_JS_ONLY}")
 def inc_scan(spark, sf):
     """Table of an earlier state, then a scan of the present one: only the rest is read."""
     rules = R.RuleSet(r for r in bundled_rules() if r.language == "javascript")
@@ -1310,7 +1309,7 @@ def st_gate(spark, sf):
     return _append_stream(st.gate_stream(arriving, policies), folder)
 
 
-@query("st_scan", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_NOT_OTHER}")
+@query("st_scan", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_JS_ONLY}")
 def st_scan(spark, sf):
     folder = shared_folder(spark)
     arriving = _as_stream(spark, V.code_corpus(spark, sf, "javascript"), f"{folder}/in")
@@ -1318,7 +1317,7 @@ def st_scan(spark, sf):
     return _append_stream(st.scan_stream(arriving, rules), folder).select(*_ISSUE)
 
 
-@query("st_inc", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_NOT_OTHER}")
+@query("st_inc", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_JS_ONLY}")
 def st_inc(spark, sf):
     """Every file arrives twice and is scanned once."""
     folder = shared_folder(spark)
