@@ -70,15 +70,50 @@ def test_pivots_never_discard_a_link():
             assert abs(bin(a ^ p).count("1") - bin(b ^ p).count("1")) <= 2
 
 
-def test_verified_links_need_similar_texts(spark):
-    base = " ".join(f"w{i}" for i in range(400))
-    near = base.replace("w7 ", "x7 ")
-    df = rows(spark, [base, near, "quite another text with other words in it"])
-    found = simhash.near_duplicates(df, max_bits=4, min_similarity=0.8)
-    by = {r.doc_id: r.component_id for r in found.collect()}
-    assert by[2] == 2 and by[0] == 0
-    strict = simhash.near_duplicates(df, max_bits=4, min_similarity=1.0)
-    assert {r.component_id for r in strict.collect()} == {0, 1, 2}
+def edited(text, share, seed):
+    rng = np.random.default_rng(seed)
+    words = text.split()
+    for i in rng.choice(len(words), max(1, int(len(words) * share)), replace=False):
+        words[i] = f"edit{seed}x{i}"
+    return " ".join(words)
+
+
+def test_similar_texts_by_brute_force(spark, docs):
+    """Near copies of many degrees, hubs and chains, copies, short, empty and very long texts."""
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    base = " ".join(f"w{i % 389} v{i}" for i in range(150))
+    texts += [edited(base, k / 400, k) for k in range(20)] + [base.upper(), base]
+    texts += [edited(t, 0.03, k) for k, t in enumerate(texts[:40]) if t and len(t.split()) > 30]
+    texts += [LONG, edited(LONG, 0.01, 3), LONG, None, "", "  ", "one two", "One  two", "one three"]
+    df = rows(spark, texts)
+    more = spark.createDataFrame([(None, "one two", "s", 1), (0, texts[0], "s", 1)], DOC)
+    got = simhash.similar_texts(df.union(more)).collect()
+    assert len(got) == len(texts) + 2
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if s and t and min(len(s), len(t)) >= 0.8 * max(len(s), len(t)):
+                if len(s & t) >= 0.8 * len(s | t):
+                    a, b = sorted((top(i), top(j)))
+                    group[b] = a
+    want = {i: top(i) for i in range(len(texts))}
+    assert sum(i != r for i, r in want.items()) > 25
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    lone = [r.component_id for r in got if r.doc_id is None]
+    assert lone == [want[texts.index("one two")]]
+    assert simhash.similar_texts(df.limit(0)).count() == 0
 
 
 def test_brown_counts_and_scores(spark, docs):
@@ -248,7 +283,7 @@ def test_pipeline_stages_keep_columns(spark, sf):
     done = corpus_pipeline.drop_lines(spark, docs, sf)
     assert done.columns == docs.columns and done.count() == docs.count()
     kept = corpus_pipeline.drop_copies(spark, done, sf)
-    prints = {r.fp for r in simhash.fingerprints(kept).where("fp <> 0").collect()}
     assert kept.columns == docs.columns
-    assert prints == {r.fp for r in simhash.fingerprints(done).where("fp <> 0").collect()} or kept.count() < done.count()
+    found = simhash.similar_texts(done).where("doc_id = component_id")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in found.collect()}
     assert kept.where("text <> ''").groupBy("text").count().where("count > 1").isEmpty()
