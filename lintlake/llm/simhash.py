@@ -26,6 +26,10 @@ SIMILARITY = 0.8
 #: Shingles of three words at that similarity of five give fingerprints some 7 bits apart.
 WIDE = 16
 BANDS, ROWS = 20, 6
+ORDERS = np.array(
+    [xxhash.xxh64_intdigest(b"order %d" % k, SEED) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64
+)
+SLICE = 512  # shingles put in all orders at once
 
 
 def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
@@ -156,11 +160,9 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     0.99997 at 0.85.
     """
     lows = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    orders = [xxhash.xxh64_intdigest(b"order %d" % k, SEED) | 1 for k in range(len(lows))]
-    for i in range(0, len(shingles), CHUNK):
-        part = shingles[i : i + CHUNK]
-        for k, order in enumerate(orders):
-            lows[k] = min(lows[k], (part * np.uint64(order)).min())
+    for i in range(0, len(shingles), SLICE):
+        under = shingles[i : i + SLICE, None] * ORDERS
+        lows = np.minimum(lows, under.min(axis=0))
     bands = lows.reshape(BANDS, ROWS)
     keys = [xxhash.xxh64_intdigest(bands[b].tobytes(), b) for b in range(BANDS)]
     return np.array(keys, dtype=np.uint64).view(np.int64)
