@@ -23,8 +23,6 @@ PIVOTS = 16
 CHUNK = 1 << 16
 COMPARED = 5
 SIMILARITY = 0.8
-#: Shingles of three words at that similarity of five give fingerprints some 7 bits apart.
-WIDE = 16
 BANDS, ROWS = 20, 6
 ORDERS = np.array(
     [xxhash.xxh64_intdigest(b"order %d" % k, SEED) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64
@@ -153,6 +151,34 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def pivot_distances(shingles: np.ndarray) -> np.ndarray:
+    """Distances of a set of shingles to PIVOTS sets, each up to a constant of the pivot.
+
+    Pivot p is the set of all hashes with bit p, and the distance of two sets is the number of
+    hashes that only one of them has.
+    """
+    count = np.zeros(PIVOTS, dtype=np.int64)
+    bits = np.arange(PIVOTS, dtype=np.uint64)
+    for i in range(0, len(shingles), CHUNK):
+        part = shingles[i : i + CHUNK, None] >> bits & np.uint64(1)
+        count += part.sum(axis=0, dtype=np.int64)
+    return len(shingles) - 2 * count
+
+
+def _possible(min_similarity: float) -> Column:
+    """That rows ``x`` and ``y`` may have that similarity by their sizes and pivot distances.
+
+    Sets of that similarity differ in (1 - s) / (1 + s) of the sum of their sizes at most, and
+    by the triangle inequality no pivot distance of theirs differs in more, so no link is lost.
+    """
+    a, b = F.col("x.n_shingles"), F.col("y.n_shingles")
+    most = (a + b) * ((1 - min_similarity) / (1 + min_similarity)) + 0.5  # whole numbers below
+    fits = F.least(a, b) >= min_similarity * F.greatest(a, b)
+    for i in range(PIVOTS):
+        fits = fits & (F.abs(F.col("x.pivots")[i] - F.col("y.pivots")[i]) <= most)
+    return fits
+
+
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """A key for each of BANDS bands of ROWS minima of the shingles under other orders.
 
@@ -169,32 +195,34 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, node, fp, n_shingles, bands`` of every whole text.
+    """``doc_id, text, node, n_shingles, pivots, bands`` of every whole text.
 
     ``node`` is a hash of the lower-cased words, so copies share it.  Texts without words have
-    a null node and no bands.
+    a null node and no pivots or bands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, count, bands = [], [], [], []
+            node, count, pivots, bands = [], [], [], []
             for t in batch.column(1).to_pylist():
                 words = (t or "").encode().lower().split()
                 shingles = word_hashes(words) if words else []
                 node.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) if words else None)
-                fp.append(_signed(fingerprint(words)))
                 count.append(len(shingles))
+                pivots.append(pivot_distances(shingles) if words else [])
                 bands.append(band_keys(shingles) if words else [])
-            longs = [pa.array(x, type=pa.int64()) for x in (node, fp, count)]
+            longs = [pa.array(x, type=pa.int64()) for x in (node, count)]
+            lists = [pa.array(x, type=pa.list_(pa.int64())) for x in (pivots, bands)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *longs, pa.array(bands, type=pa.list_(pa.int64()))],
-                ["doc_id", "text", "node", "fp", "n_shingles", "bands"],
+                [*batch.columns, *longs, *lists],
+                ["doc_id", "text", "node", "n_shingles", "pivots", "bands"],
             )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(
         run,
-        "doc_id bigint, text string, node bigint, fp bigint, n_shingles bigint, bands array<bigint>",
+        "doc_id bigint, text string, node bigint, n_shingles bigint, pivots array<bigint>,"
+        " bands array<bigint>",
     )
 
 
@@ -227,17 +255,15 @@ def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataF
 def similar_texts(
     docs: DataFrame,
     min_similarity: float = SIMILARITY,
-    max_bits: int = WIDE,
     id_col: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """``doc_id, component_id`` of each row: groups of texts by similarity of their shingles.
 
     Two texts are linked if their COMPARED-word shingles have that Jaccard similarity;
-    ``component_id`` is the smallest id reachable over links.  Fingerprints of texts just above
-    0.8 differ in about 3 to 12 bits, too many for groups by equal bytes, so the pivot table is
-    joined within groups of equal band keys (see ``band_keys``); pivot distances and
-    fingerprints discard pairs over ``max_bits`` and the shingles verify the rest.
+    ``component_id`` is the smallest id reachable over links.  The pivot table is joined within
+    groups of equal band keys (see ``band_keys``); sizes and pivot distances discard only pairs
+    that can't have the similarity (see ``_possible``) and the shingles verify all others.
 
     Each group is first compared with one of its texts, which joins most of a large group;
     then only texts of a group that are still in different components are compared, so links
@@ -258,21 +284,16 @@ def similar_texts(
         f"{folder}/texts",
     )
     one = drawn.join(firsts.select("row"), "row", "left_semi")
-    pivots = pivot_table(one.select("fp").distinct())
-    keyed = one.select("node", "fp", "n_shingles", F.explode("bands").alias("key"))
+    pivots = one.select("node", "n_shingles", "pivots")
+    keyed = one.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"))
     shared = shared.where("n > 1").drop("n")
-    keyed = stored(keyed.join(shared, "key").join(pivots, "fp"), f"{folder}/keyed")
-
-    def possible(rest: Column) -> Column:
-        sizes = F.least("x.n_shingles", "y.n_shingles") >= min_similarity * F.greatest(
-            "x.n_shingles", "y.n_shingles"
-        )
-        return (F.col("x.key") == F.col("y.key")) & rest & sizes & _near(max_bits)
+    keyed = stored(keyed.join(shared, "key").join(pivots, "node"), f"{folder}/keyed")
 
     def compared(x: DataFrame, y: DataFrame, rest: Column, name: str) -> DataFrame:
         a, b = F.col("x.node"), F.col("y.node")
-        pairs = x.alias("x").join(y.alias("y"), possible(rest))
+        mates = (F.col("x.key") == F.col("y.key")) & rest & _possible(min_similarity)
+        pairs = x.alias("x").join(y.alias("y"), mates)
         pairs = pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
         pairs = stored(pairs, f"{folder}/pairs-{name}")
         return stored(verified(pairs, texts, min_similarity), f"{folder}/links-{name}")

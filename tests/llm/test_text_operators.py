@@ -116,6 +116,42 @@ def test_similar_texts_by_brute_force(spark, docs):
     assert simhash.similar_texts(df.limit(0)).count() == 0
 
 
+def test_similar_texts_with_repeats_and_tails(spark):
+    """Repeated lines turn whole fingerprints; only the sets of shingles decide."""
+    texts = []
+    for n, line, times in ((200, 30, 10), (300, 12, 60), (400, 20, 40), (120, 9, 80)):
+        for k in range(10):
+            body = " ".join(f"b{n}x{k}y{i}" for i in range(n))
+            again = " ".join(f"r{n}x{k}y{i}" for i in range(line))
+            texts += [f"{body} {again}", " ".join([body, *[again] * times])]
+    for n in (100, 400, 1000):
+        for k in range(10):
+            body = " ".join(f"t{n}x{k}y{i}" for i in range(n))
+            texts += [body, body + " " + " ".join(f"u{n}x{k}y{i}" for i in range(n // 5))]
+    n = len(texts)
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    for i in range(0, n, 2):
+        a, b = sets[i], sets[i + 1]
+        assert len(a & b) >= 0.8 * len(a | b)
+    far = [simhash.fingerprint(t.encode().split()) for t in texts]
+    assert sum(bin(far[i] ^ far[i + 1]).count("1") > 16 for i in range(0, n, 2)) > 20
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(rows(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
+def test_pivot_distances_never_discard_a_similar_pair():
+    rng = np.random.default_rng(6)
+    for size in (1, 4, 9, 45, 300, 5000):
+        for _ in range(50):
+            every = np.unique(rng.integers(1 << 63, size=size, dtype=np.uint64))
+            cut = int(rng.integers(len(every) // 5 + 1))
+            a, b = every[cut // 2 :], every[: len(every) - (cut - cut // 2)]
+            most = (len(a) + len(b)) / 9 + 0.5
+            apart = np.abs(simhash.pivot_distances(a) - simhash.pivot_distances(b))
+            assert (apart <= most).all()
+
+
 def test_brown_counts_and_scores(spark, docs):
     got = brown.score_texts(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
