@@ -23,6 +23,7 @@ UNITS = (
 ).split()
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0004"
+APART, COPIED, SLOT = "0", "1", "2"  # of an aligned word: differs, same raw word, same template
 
 
 def raw_form(text: Column) -> Column:
@@ -60,6 +61,33 @@ def _windows(words: Column, size: int, stride: int) -> Column:
     )
 
 
+def _spans(codes: Column, least: Column) -> Column:
+    """``start, size, copy`` of the runs of ``least`` equal words or more.
+
+    A run with SLOT at an end that is no end of the item comes without these words too.
+    """
+    at = F.sequence(F.lit(0), F.length(codes) - 1)
+    code = lambda i: F.substring(codes, i + 1, F.lit(1))
+    first = F.filter(at, lambda i: (code(i) != APART) & ((i == 0) | (code(i - 1) == APART)))
+
+    def run(i: Column) -> Column:
+        own = F.regexp_extract(F.substring(codes, i + 1, F.length(codes)), f"^[^{APART}]+", 0)
+        left = F.when(i > 0, F.ltrim(own, F.lit(SLOT))).otherwise(own)
+        last = i + F.length(own) == F.length(codes)
+        inner = F.when(last, left).otherwise(F.rtrim(left, F.lit(SLOT)))
+        return F.array(
+            _span(i, own), _span(i + F.length(own) - F.length(left), inner)
+        )
+
+    def _span(start: Column, text: Column) -> Column:
+        return F.struct(
+            start.alias("start"), F.length(text).alias("size"), (~F.contains(text, F.lit(SLOT))).alias("copy")
+        )
+
+    every = F.array_distinct(F.flatten(F.transform(first, run)))
+    return F.filter(every, lambda s: s["size"] >= least)
+
+
 def _tokens(rows: DataFrame, text: str, *keep: Column) -> DataFrame:
     raw = rows.select(*keep, raw_form(F.col(text)).alias("raw"))
     return raw.select("*", template_form(F.col("raw")).alias("template"))
@@ -78,11 +106,14 @@ def find_leaks(
     Items and documents are turned into templates, word by word.  All windows of WINDOW words
     of an item, and those at every STRIDE-th word of a document, meet in a join on their hash;
     any shared run of MIN_RUN template words holds such a pair.  Each pair gives an alignment,
-    which is compared in full: ``run`` is the longest run of words with equal templates or
-    equal raw words, ``matched`` the share of the item's words that are so.  An alignment counts if the run has MIN_RUN
-    words (or the whole item), at least MIN_LITERALS of its words are no placeholders (all, for
-    an item with fewer), and its slots are consistent: an item's value always stands for one
-    value of the document.  ``same_slots`` tells plain copies from re-parameterised ones.
+    which is compared in full, word by word: a word is equal if its template or its raw word is.
+    A run of equal words counts if it has MIN_RUN words (or the whole item) and is a word-for-word
+    copy, or if MIN_LITERALS words of the alignment (all, for an item with fewer) are equal and no
+    placeholders with other raw words, and the run's slots are consistent: an item's value always
+    stands for one value of the document.  Slots with other values at an end of a run that is no
+    end of the item may belong to the text around a partial copy, so the run is judged without
+    them too.  ``run`` is the length of the longest run that counts, ``matched`` the share of the
+    item's words that are equal; ``same_slots`` tells plain copies from re-parameterised ones.
 
     Items of fewer than MIN_RUN words are matched whole, by windows of their own length at
     every word.  Null texts, and items without words, match nothing; rows with the same id and
@@ -143,52 +174,43 @@ def find_leaks(
         .drop("d", "k")
     )
     at = F.sequence(F.lit(0), F.size("words") - 1)
-    equal = F.transform(
+    value = lambda i: F.translate(F.get("raw", i), NAME, "")
+    other = lambda i: F.translate(F.get("doc_raw", F.col("shift") + i), NAME, "")
+    code = F.transform(
         at,
-        lambda i: F.coalesce(
-            (F.get("words", i) == F.get("doc_words", F.col("shift") + i))
-            | (
-                F.translate(F.get("raw", i), NAME, "")
-                == F.translate(F.get("doc_raw", F.col("shift") + i), NAME, "")
-            ),
-            F.lit(False),
-        ),
+        lambda i: F.when(value(i) == other(i), COPIED)
+        .when(F.get("words", i) == F.get("doc_words", F.col("shift") + i), SLOT)
+        .otherwise(APART),
     )
-    both = both.withColumn("equal", equal)
-    flags = F.array_join(F.transform("equal", lambda e: F.when(e, "1").otherwise("0")), "")
-    run = F.array_max(F.transform(F.split(flags, "0", -1), F.length))
-    slot = F.filter(
-        at, lambda i: F.get("equal", i) & F.get("words", i).isin(NAME, NUMBER, UNIT)
-    )
-    literal = F.size(
-        F.filter(at, lambda i: F.get("equal", i) & ~F.get("words", i).isin(NAME, NUMBER, UNIT))
-    )
-    pair = F.transform(
-        slot,
-        lambda i: F.struct(
-            F.translate(F.get("raw", i), NAME, "").alias("x"),
-            F.translate(F.get("doc_raw", F.col("shift") + i), NAME, "").alias("y"),
-        ),
-    )
-    judged = both.select(
+    both = both.withColumn("codes", F.array_join(code, "")).withColumn("n", F.size("words"))
+    runs = both.withColumn("spans", _spans(F.col("codes"), F.least(F.lit(MIN_RUN), "n")))
+
+    def slots(s: Column) -> Column:
+        inside = F.filter(
+            F.sequence(s["start"], s["start"] + s["size"] - 1),
+            lambda i: F.get("words", i).isin(NAME, NUMBER, UNIT),
+        )
+        pairs = F.transform(inside, lambda i: F.struct(value(i).alias("x"), other(i).alias("y")))
+        return F.array_distinct(pairs)
+
+    literals = F.length(F.translate("codes", APART + SLOT, ""))
+    equal = F.length(F.translate("codes", APART, ""))
+    judged = runs.select(
         "doc_id",
         "text_key",
         "item_id",
-        run.alias("run"),
-        (F.size(F.filter("equal", lambda e: e)) / F.size("words")).alias("matched"),
-        literal.alias("literals"),
-        F.size("words").alias("n"),
-        F.array_distinct(pair).alias("pairs"),
-    )
+        (equal / F.col("n")).alias("matched"),
+        (literals >= F.least(F.lit(MIN_LITERALS), "n")).alias("worded"),
+        F.explode(
+            F.transform(
+                "spans",
+                lambda s: F.struct(s["size"].alias("run"), s["copy"].alias("copy"), slots(s).alias("pairs")),
+            )
+        ).alias("span"),
+    ).select("*", "span.*")
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"])))
-    kept = judged.where(
-        (F.col("run") >= F.least(F.lit(MIN_RUN), "n"))
-        & (F.col("literals") >= F.least(F.lit(MIN_LITERALS), "n"))
-        & consistent
-    )
-    best = F.struct(
-        "run", "matched", F.forall("pairs", lambda p: p["x"] == p["y"]).alias("same_slots")
-    )
+    kept = judged.where(F.col("copy") | (F.col("worded") & consistent))
+    best = F.struct("run", "matched", F.col("copy").alias("same_slots"))
     return (
         kept.groupBy("doc_id", "text_key", "item_id")
         .agg(F.max(best).alias("best"))

@@ -281,6 +281,39 @@ def test_leaks_and_changed_numbers(spark):
     assert templates.find_leaks(rows(spark, texts), items.limit(0)).count() == 0
 
 
+def test_verbatim_leaks_whatever_their_slots(spark):
+    quote = "The farmer has 9 hens and sells 9 of them for money every single week"
+    items = spark.createDataFrame(
+        [
+            (1, "who wrote Hamlet in 1600"),
+            (2, "what is 17 25 9 3"),
+            (3, "add 1 2 3 4 5 6 7 8 9 10 11 12 13"),
+            (4, quote + " until 9 foxes come and take 9 hens away"),
+        ],
+        "item_id bigint, text string",
+    )
+    texts = [
+        "he asked who wrote Hamlet in 1600 again",
+        "tell me what is 17 25 9 3 please",
+        "now add 1 2 3 4 5 6 7 8 9 10 11 12 13 or so",
+        quote + " because 7 wolves come and take 5 hens away",
+        quote + " 4 7 or not",
+        "he asked who wrote Faust in 1808 again",
+        "tell me what is 18 26 8 4 please",
+        "now add 21 32 43 54 65 76 87 98 19 20 31 42 53 or so",
+        quote.replace("sells 9", "sells 7") + " until 5 foxes come and take 3 hens away",
+    ]
+    found = templates.find_leaks(rows(spark, texts), items).collect()
+    got = {(r.doc_id, r.item_id): (r.run, r.same_slots) for r in found}
+    assert got == {
+        (0, 1): (5, True),
+        (1, 2): (6, True),
+        (2, 3): (14, True),
+        (3, 4): (15, True),
+        (4, 4): (15, True),
+    }
+
+
 def test_every_planted_passage_is_found(spark, docs, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     flat = lambda t: " ".join((t or "").lower().split())
