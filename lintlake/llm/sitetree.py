@@ -165,6 +165,13 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, tuple]]:
     return blocks, nodes
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``site, html`` of each distinct page of a host: copies say nothing about its style."""
+    html = F.col("html")
+    keys = F.xxhash64(html).alias("p1"), F.xxhash64(F.lit("page"), html, F.length(html)).alias("p2")
+    return pages.groupBy("site", *keys).agg(F.first("html").alias("html")).select("site", "html")
+
+
 def tree_rows(pages: DataFrame) -> DataFrame:
     """``site, node, kind, feature, above``: what each page adds to its host's style tree.
 
@@ -245,7 +252,7 @@ def extract(
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page: its article's text.
 
-    The pages of a host are merged into a style tree of element paths.  Branches whose
+    The distinct pages of a host are merged into a style tree of element paths.  Branches whose
     importance is below ``min_importance`` go; so do branches that HTML or their class says are
     menus, footers, adverts, forms or comments.  If a page has an article or main element, only
     what is in it stays, and there the tree judges only branches with a class of their own, so a
@@ -261,7 +268,7 @@ def extract(
         F.xxhash64(url_host(F.col(url))).alias("site"),
         F.col(html).alias("html"),
     )
-    nodes = importance(tree_rows(rows))
+    nodes = importance(tree_rows(distinct_pages(rows)))
     low = nodes.where(F.col("importance") < min_importance).select("site", "node")
     low = stored(low, f"{shared_folder(pages.sparkSession)}/low")
     by_site = low.groupBy("site").agg(F.collect_list("node").alias("low"))

@@ -132,3 +132,24 @@ def test_site_tree_removes_what_repeats(spark):
     assert got[93].text.startswith("Head & line")
     assert sitetree.extract(df).count() == len(data)
     assert sitetree.extract(df.limit(0)).count() == 0
+
+
+def test_copies_are_one_page_of_the_tree(spark):
+    def page(i):
+        return f"<html><body><div class=a><p>Head {i}</p></div><div><p>Own text {i}</p></div></body></html>"
+
+    classed = "<article><div class=body><p>Classed text</p></div></article>"
+    data = [(0, "http://two.org/", page(0)), (0, "http://two.org/", page(0))]
+    data += [(10 + i, "http://copies.org/", page(1)) for i in range(20)]
+    data += [(40 + i, "http://few.org/", page(i % 2)) for i in range(20)]
+    data += [(70, "http://c.org/", classed), (70, "http://c.org/", classed)]
+    data += [(80 + i, None, page(3)) for i in range(3)]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    got = sitetree.extract(df).collect()
+    assert len(got) == len(data)
+    text = {r.page_id: r.text for r in got}
+    assert text[0] == "Head 0\nOwn text 0"
+    assert {text[10 + i] for i in range(20)} == {"Head 1\nOwn text 1"}
+    assert [text[40 + i] for i in range(20)] == ["Head 0\nOwn text 0", "Head 1\nOwn text 1"] * 10
+    assert text[70] == "Classed text"
+    assert {text[80 + i] for i in range(3)} == {"Head 3\nOwn text 3"}
