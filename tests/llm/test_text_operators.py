@@ -200,6 +200,20 @@ def test_lines_by_host_share(spark):
     assert linedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_on_few_of_many_pages(spark):
+    """Boilerplate on 2% of a host's pages goes; a line on four pages stays."""
+    texts = [f"body {i}\nown {i}" for i in range(400)]
+    for i in range(0, 400, 50):
+        texts[i] += "\nSubscribe to our letter"
+    for i in range(1, 400, 100):
+        texts[i] += "\nSeen four times"
+    df = rows(spark, texts).withColumn("source", F.lit("one"))
+    out = {r.doc_id: r for r in linedup.dedup_lines(df).collect()}
+    assert {i for i in out if out[i].n_dropped} == set(range(0, 400, 50))
+    assert out[50].text == "body 50\nown 50"
+    assert out[101].text.endswith("Seen four times")
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
