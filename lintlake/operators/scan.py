@@ -11,6 +11,7 @@ import functools
 import operator
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from lintlake.operators import tokens as tk
 from lintlake.operators.shapes import Condition, Shape
 from lintlake.sources.rules import Rule, RuleSet
 
-_BLOCK = 512
+_BLOCK = 128
 _POINTS = "array<struct<line:int,col:int>>"
 
 
@@ -46,7 +47,7 @@ def _points() -> str:
         return f"get(transform(array({value}), {var} -> {body}), 0)"
 
     before = "coalesce(get(a, k - 1), 0)"
-    pieces = f"transform(a, (x, k) -> array_join(slice(tok, {before} + 1, x - {before}), ''))"
+    pieces = f"transform(a, (x, k) -> {sh.text(before, 'x')})"
     lf = "'\\n'"
     steps = (
         f"transform(ps, p -> struct(octet_length(p) - octet_length(replace(p, {lf}, '')) as nl, "
@@ -60,8 +61,12 @@ def _points() -> str:
         f"array_append(s.out, {point}) as out)"
     )
     start = f"struct(t.cur.line as line, t.cur.col as col, {none} as out)"
+    some = (
+        f"if(b * {_BLOCK} < size(st), transform(sequence(b * {_BLOCK}, "
+        f"least((b + 1) * {_BLOCK}, size(st)) - 1), q -> get(st, q)), slice(st, 1, 0))"
+    )
     block = (
-        f"(t, b) -> struct(aggregate(slice(st, b * {_BLOCK} + 1, {_BLOCK}), {start}, {add}) as cur, "
+        f"(t, b) -> struct(aggregate({some}, {start}, {add}) as cur, "
         "array_append(t.done, t.cur.out) as done)"
     )
     origin = (
@@ -166,9 +171,18 @@ def _probe(language: str, wanted: Wanted) -> str | None:
     return _alternatives([f"(?:{p})" for p in probes])
 
 
-def _hits(language: str, wanted: Wanted, needs: frozenset[str]) -> str:
-    """SQL over tok and attrs: sorted ARRAY<STRUCT<at, anchor, k, shape, caps>>."""
-    parts, anchors = [], []
+@dataclass(frozen=True)
+class _Plan:
+    """What a language's files are searched for, as SQL in the order of evaluation."""
+
+    anchors: str | None  # regex that some token of any shape begins with
+    pools: dict[str, str]  # by column: the tokens a shape may stand at
+    users: dict[str, list[str]]  # by bracket table: the pools whose matches look into it
+    hits: str  # sorted ARRAY<STRUCT<at, anchor, k, shape, caps>>
+
+
+def _plan(language: str, wanted: Wanted, needs: frozenset[str]) -> _Plan:
+    parts, anchors, pools, users = [], [], {}, {}
     for (lang, name), wheres in wanted.items():
         if lang != language:
             continue
@@ -183,17 +197,51 @@ def _hits(language: str, wanted: Wanted, needs: frozenset[str]) -> str:
             pool = "pool"
             anchors.append(anchor)
         # the anchor is tried before any neighbour is looked at
+        own = f"{language}{len(parts)}"
+        pools[own] = f"filter({pool}, i -> {sh.begins('i', anchor)} and {test})"
+        for table in sh.tables_in(found):
+            users.setdefault(table, []).append(own)
         parts.append(
-            f"flatten(transform(filter({pool}, i -> {sh.begins('i', anchor)} and {test}), "
+            f"flatten(transform({own}, "
             f"i -> transform({found}, (m, k) -> struct(m.at as at, i as anchor, k as k, "
             f"{sh.quoted(name)} as shape, m.caps as caps))))"
         )
-    hits = f"concat({', '.join(parts)})"
-    if anchors:
-        # one look at every token for all shapes; few tokens are left for each of them
-        some = f"filter(idx, i -> {sh.begins('i', _alternatives(anchors))})"
-        hits = sh.let("pool", some, hits)
-    return f"array_sort({hits})"
+    some = _alternatives(anchors) if anchors else None
+    return _Plan(some, pools, users, f"array_sort(concat({', '.join(parts)}))")
+
+
+def _searched(read: DataFrame, plans: dict[str, _Plan]) -> DataFrame:
+    """``read`` (language, tok, attrs) with the pools, bracket tables and ``hits``.
+
+    Few matches of a file walk through it; for more of them its brackets are paired once.
+    """
+    language = F.col("language")
+    read = read.withColumn(
+        "idx", F.expr(f"slice(sequence(0, size(tok)), {sh.HEAD + 1}, size(tok) - {sh.HEAD + sh.TAIL})")
+    )
+    # one look at every token for all shapes; few tokens are left for each of them
+    some = {
+        lang: F.expr(f"filter(idx, i -> {sh.begins('i', p.anchors)})")
+        for lang, p in plans.items()
+        if p.anchors
+    }
+    if some:
+        read = read.withColumn("pool", _case(language, some))
+    read = read.withColumns(
+        {k: F.when(language == lang, F.expr(v)) for lang, p in plans.items() for k, v in p.pools.items()}
+    )
+    tables: dict[str, dict[str, Column]] = {}
+    for lang, p in plans.items():
+        for table, pools in p.users.items():
+            many = f"{' + '.join(f'size({x})' for x in pools)} > {sh.FAR} and size(idx) > {sh.SMALL}"
+            made = F.when(F.expr(many), F.expr(sh.table(table)))
+            tables.setdefault(table, {})[lang] = made
+    read = read.withColumns({name: _case(language, made) for name, made in tables.items()})
+    hits = _case(language, {lang: F.expr(p.hits) for lang, p in plans.items()})
+    # a second use of each table keeps Spark from moving it into the search for each match
+    for name in tables:
+        hits = F.when(F.coalesce(F.size(name), F.lit(0)) >= -1, hits)
+    return read.withColumn("hits", hits)
 
 
 def _case(language: Column, branches: dict[str, Column]) -> Column:
@@ -250,11 +298,8 @@ def facts_of(
     read = read.select(
         *columns, "language", F.concat(pad[0], tok, pad[1]).alias("tok"), attrs.alias("attrs")
     )
-    hits = {x: F.expr(_hits(x, wanted, needs)) for x in languages}
-    read = read.withColumn(
-        "idx", F.expr(f"slice(sequence(0, size(tok)), {sh.HEAD + 1}, size(tok) - {sh.HEAD + sh.TAIL})")
-    )
-    matched = read.select(*columns, "language", "tok", _case(lang_col, hits).alias("hits"))
+    searched = _searched(read, {x: _plan(x, wanted, needs) for x in languages})
+    matched = searched.select(*columns, "language", "tok", "hits")
     placed = matched.select(*columns, "language", "hits", F.expr(_points()).alias("points"))
     # the outer form keeps Spark from testing size(hits) first, which would find all
     # matches twice

@@ -111,8 +111,8 @@ def word(i: str, *words: str) -> str:
 
 
 def text(i: str, j: str) -> str:
-    """Text of tokens i .. j-1."""
-    return f"array_join(slice(tok, {i} + 1, greatest({j} - {i}, 0)), '')"
+    """Text of tokens i .. j-1; ``slice`` would copy all tokens of the file first."""
+    return f"if({j} > {i}, array_join(transform(sequence({i}, {j} - 1), q -> get(tok, q)), ''), '')"
 
 
 def core(i: str, lang: str) -> str:
@@ -158,8 +158,12 @@ def matches(at: str, caps: Sequence[str], test: str | None = None, optional: str
 
 
 def let(var: str, value: str, body: str) -> str:
-    """Give a value a name; ``body`` is an array."""
-    return f"flatten(transform(array({value}), {var} -> {body}))"
+    """Give a value a name in ``body``.
+
+    ``get`` may always be null, so Spark needs no look into the body to know; with ``flatten``
+    it asks twice at each level, and nested names would take exponential time to plan.
+    """
+    return f"get(transform(array({value}), {var} -> {body}), 0)"
 
 
 def opens(i: str) -> str:
@@ -170,14 +174,105 @@ def closes(i: str) -> str:
     return f"(left({tok(i)}, 1) in (')', ']', '}}'))"
 
 
-# --- walks over neighbouring tokens: a short reach first, the rest of the file if needed ---
+# --- walks over neighbouring tokens: a short reach first, then a table of the file's brackets ---
+
+FAR = 8  # matches of a file that may walk through the whole of it before a table is made
+SMALL = 256  # tokens of a file that needs no table
+_BLOCK = 64  # brackets or stops of a small block; a large one has the square
+
+#: By the SQL of a stop, the name of the table that has it.
+_STOPS: dict[str, str] = {"false": "level0"}
+_MATES = "mates"
+
+
+def tables_in(sql: str) -> list[str]:
+    """Names of the bracket tables that an expression looks into."""
+    return sorted(set(re.findall(rf"\b(?:level\d+|{_MATES})\b", sql)))
+
+
+def table(name: str) -> str:
+    """SQL of a bracket table over ``tok`` and ``idx``, one entry for each token."""
+    if name == _MATES:
+        return _mates()
+    return _levels(next(stop for stop, known in _STOPS.items() if known == name))
 
 
-def _walk(start: str, step: int, hit: str, depth: str) -> str:
+def _records(stop: str, body: str) -> str:
+    """``body`` over ``ev``, the tokens that are brackets or stops, ``rec``, the innermost
+    bracket ``o`` open before each of them and the nearest stop or opener ``last`` at its
+    depth, and ``fin``, the same for the end.
+
+    One pass with a stack.  A closer without an opener opens nothing.  Spark copies the state
+    of an aggregate at each step, so the state is the stack alone and not what was found: the
+    stacks at the starts of large blocks come first, then those of small blocks within each,
+    then the records of each small block.
+    """
+    stack = "array<struct<o:int,last:int>>"
+    top, rest = "get(st, 0)", "slice(st, 2, size(st))"
+    pushed = "concat(array(struct(j as o, j as last)), st)"
+    popped = f"if(size(st) > 1, {rest}, array(struct({HEAD - 1} as o, {HEAD - 1} as last)))"
+    marked = f"concat(array(struct({top}.o as o, j as last)), {rest})"
+
+    def after(state: str, k: str) -> str:
+        """The stack after event k."""
+        closed = let("st", popped, f"if({stop}, {marked}, st)")
+        step = f"case when {opens('j')} then {pushed} when {closes('j')} then {closed} else {marked} end"
+        return let("st", state, let("j", f"get(ev, {k})", step))
+
+    def events(first: str, n: int) -> str:
+        return f"sequence({first}, least({first} + {n}, size(ev)) - 1)"
+
+    def starts(state: str, first: str, blocks: str, n: int) -> str:
+        """The stacks at the starts of blocks of n events, and after the last."""
+        walk = f"aggregate({events(f'{first} + b * {n}', n)}, t.cur, (x, k) -> {after('x', 'k')})"
+        return (
+            f"aggregate({blocks}, struct({state} as cur, cast(array() as array<{stack}>) as out), "
+            f"(t, b) -> struct({walk} as cur, array_append(t.out, t.cur) as out))"
+        )
+
+    small, large = _BLOCK, _BLOCK * _BLOCK
+    bottom = f"cast(array(struct({HEAD - 1} as o, {HEAD - 1} as last)) as {stack})"
+    whole = starts(bottom, "0", f"sequence(0, (size(ev) - 1) div {large})", large)
+    own = f"sequence(0, (least(g * {large} + {large}, size(ev)) - 1 - g * {large}) div {small})"
+    within = f"flatten(transform(whole.out, (y, g) -> {starts('y', f'cast(g * {large} as int)', own, small)}.out))"
+    record = "cast(array() as array<struct<o:int,last:int>>)"
+    each = (
+        f"aggregate({events(f'cast(b * {small} as int)', small)}, struct(y as cur, {record} as out), "
+        f"(t, k) -> struct({after('t.cur', 'k')} as cur, array_append(t.out, get(t.cur, 0)) as out), t -> t.out)"
+    )
+    some = f"filter(idx, j -> {any_of(opens('j'), closes('j'), stop)})"
+    found = let("rec", f"flatten(transform({within}, (y, b) -> {each}))", body)
+    found = let("whole", whole, let("fin", "get(whole.cur, 0)", found))
+    none = let("rec", record, let("fin", f"get({bottom}, 0)", body))
+    return let("ev", some, f"if(size(ev) > 0, {found}, {none})")
+
+
+def _levels(stop: str) -> str:
+    """By token: ``o``, the innermost bracket open at it, and ``last``, the nearest stop or
+    bracket before it at its depth."""
+    before = "coalesce(get(ev, k - 1), -1)"
+    each = f"transform(rec, (r, k) -> array_repeat(r, get(ev, k) - {before}))"
+    end = "array_repeat(fin, size(tok) - coalesce(get(ev, size(ev) - 1), -1))"
+    return _records(stop, f"concat(flatten({each}), {end})")
+
+
+def _mates() -> str:
+    """By token: for an opener the token that closes it, or the last one."""
+    own = f"if({closes('get(ev, k)')}, r.o, {HEAD - 1})"
+    pairs = f"filter(transform(rec, (r, k) -> struct({own} as o, get(ev, k) as c)), p -> p.o >= {HEAD})"
+    never = f"transform(filter(ev, j -> {opens('j')}), j -> struct(j as o, {_LAST} as c))"
+    first = "filter(both, (p, q) -> q = 0 or get(both, q - 1).o <> p.o)"
+    each = "transform(once, (p, q) -> array_repeat(p.c, p.o - coalesce(get(once, q - 1).o, -1)))"
+    dense = let("both", f"array_sort(concat({pairs}, {never}))", let("once", first, f"flatten({each})"))
+    return _records("false", dense)
+
+
+def _walk(start: str, step: int, hit: str, depth: str, known: str | None = None) -> str:
     """Index of the first token from ``start`` on for which ``hit`` holds.
 
     ``hit`` and ``depth`` see the token index j and the bracket depth s.d before it.
     Nothing found: the empty entry before the first token, or the last token of the file.
+    ``known`` is the same from a table, null where the file has none.
     """
     edge, none = (f"{HEAD}", f"{HEAD - 1}") if step < 0 else (_LAST, _LAST)
     cut = "greatest" if step < 0 else "least"
@@ -192,28 +287,30 @@ def _walk(start: str, step: int, hit: str, depth: str) -> str:
             f"s -> if(s.p >= 0, s.p, if({end} = {edge}, {none}, null)))"
         )
 
-    return f"coalesce({reach('32')}, {reach('size(tok)')})"
+    tried = [reach("32"), *([known] if known else []), reach("size(tok)")]
+    return f"coalesce({', '.join(tried)})"
 
 
 def opener(i: str) -> str:
     """Index of the innermost bracket open at token i, an empty entry when there is none."""
     hit = all_of("s.d = 0", opens("j"))
     depth = f"case when {closes('j')} then s.d + 1 when {opens('j')} then s.d - 1 else s.d end"
-    return _walk(f"{i} - 1", -1, hit, depth)
+    return _walk(f"{i} - 1", -1, hit, depth, f"get({_STOPS['false']}, {i}).o")
 
 
 def closer(i: str) -> str:
     """Index of the bracket that closes the one at token i."""
     hit = all_of("s.d = 1", closes("j"))
     depth = f"case when {closes('j')} then s.d - 1 when {opens('j')} then s.d + 1 else s.d end"
-    return _walk(i, 1, hit, depth)
+    return _walk(i, 1, hit, depth, f"get({_MATES}, {i})")
 
 
 def back(i: str, stop: str) -> str:
     """Nearest index before i, outside closed brackets, where ``stop`` or a bracket is."""
     hit = all_of("s.d = 0", any_of(opens("j"), stop))
     depth = f"case when {closes('j')} then s.d + 1 when s.d > 0 and {opens('j')} then s.d - 1 else s.d end"
-    return _walk(f"{i} - 1", -1, hit, depth)
+    name = _STOPS.setdefault(stop, f"level{len(_STOPS)}")
+    return _walk(f"{i} - 1", -1, hit, depth, f"get({name}, {i}).last")
 
 
 def forward(i: str, last: str) -> str:
@@ -807,7 +904,8 @@ def _non_null(lang: str, needs: frozenset[str]) -> tuple[str, str]:
     definite = all_of(begins("i + 1", ":"), no(_is_conditional("h", "i + 1")))
     whole = f"concat({text('s0', 'i')}, '!')"
     found = matches("s0", [cap("expr", "''", whole)], all_of("s0 >= 0", no(definite)))
-    return test, let("h", _conditional_head("i + 1"), let("s0", _operand_start("i"), found))
+    head = f"if({begins('i + 1', ':')}, {_conditional_head('i + 1')}, i)"
+    return test, let("h", head, let("s0", _operand_start("i"), found))
 
 
 register(
