@@ -213,15 +213,13 @@ def _plan(language: str, wanted: Wanted, needs: frozenset[str]) -> _Plan:
 def _searched(read: DataFrame, plans: dict[str, _Plan]) -> DataFrame:
     """``read`` (language, tok, attrs) with the pools, bracket tables and ``hits``.
 
-    Few matches of a file walk through it; for more of them its brackets are paired once.
+    Matches walk through a file where that is a bounded number of steps in all; for more of
+    them its brackets are paired once.
     """
     language = F.col("language")
-    read = read.withColumn(
-        "idx", F.expr(f"slice(sequence(0, size(tok)), {sh.HEAD + 1}, size(tok) - {sh.HEAD + sh.TAIL})")
-    )
     # one look at every token for all shapes; few tokens are left for each of them
     some = {
-        lang: F.expr(f"filter(idx, i -> {sh.begins('i', p.anchors)})")
+        lang: F.expr(f"filter({sh.every_token()}, i -> {sh.begins('i', p.anchors)})")
         for lang, p in plans.items()
         if p.anchors
     }
@@ -233,7 +231,7 @@ def _searched(read: DataFrame, plans: dict[str, _Plan]) -> DataFrame:
     tables: dict[str, dict[str, Column]] = {}
     for lang, p in plans.items():
         for table, pools in p.users.items():
-            many = f"{' + '.join(f'size({x})' for x in pools)} > {sh.FAR} and size(idx) > {sh.SMALL}"
+            many = f"bigint({' + '.join(f'size({x})' for x in pools)}) * size(tok) > {sh.WALKED}"
             made = F.when(F.expr(many), F.expr(sh.table(table)))
             tables.setdefault(table, {})[lang] = made
     read = read.withColumns({name: _case(language, made) for name, made in tables.items()})

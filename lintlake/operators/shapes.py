@@ -176,8 +176,7 @@ def closes(i: str) -> str:
 
 # --- walks over neighbouring tokens: a short reach first, then a table of the file's brackets ---
 
-FAR = 8  # matches of a file that may walk through the whole of it before a table is made
-SMALL = 256  # tokens of a file that needs no table
+WALKED = 1 << 21  # matches times tokens of a file up to which no table is made
 _BLOCK = 64  # brackets or stops of a small block; a large one has the square
 
 #: By the SQL of a stop, the name of the table that has it.
@@ -185,13 +184,19 @@ _STOPS: dict[str, str] = {"false": "level0"}
 _MATES = "mates"
 
 
+def every_token() -> str:
+    """Indices of the tokens."""
+    low, high = f"{HEAD}", f"size(tok) - {TAIL + 1}"
+    return f"if({high} >= {low}, sequence({low}, {high}), cast(array() as array<int>))"
+
+
 def tables_in(sql: str) -> list[str]:
     """Names of the bracket tables that an expression looks into."""
     return sorted(set(re.findall(rf"\b(?:level\d+|{_MATES})\b", sql)))
 
 
 def table(name: str) -> str:
-    """SQL of a bracket table over ``tok`` and ``idx``, one entry for each token."""
+    """SQL of a bracket table over ``tok``, one entry for each token."""
     if name == _MATES:
         return _mates()
     return _levels(next(stop for stop, known in _STOPS.items() if known == name))
@@ -240,7 +245,7 @@ def _records(stop: str, body: str) -> str:
         f"aggregate({events(f'cast(b * {small} as int)', small)}, struct(y as cur, {record} as out), "
         f"(t, k) -> struct({after('t.cur', 'k')} as cur, array_append(t.out, get(t.cur, 0)) as out), t -> t.out)"
     )
-    some = f"filter(idx, j -> {any_of(opens('j'), closes('j'), stop)})"
+    some = f"filter({every_token()}, j -> {any_of(opens('j'), closes('j'), stop)})"
     found = let("rec", f"flatten(transform({within}, (y, b) -> {each}))", body)
     found = let("whole", whole, let("fin", "get(whole.cur, 0)", found))
     none = let("rec", record, let("fin", f"get({bottom}, 0)", body))
