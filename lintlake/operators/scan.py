@@ -386,6 +386,8 @@ def _to_issues(matched: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 _ON = ["language", "shape", "capture", "text"]
+GRAM = 3  # characters of a regex's literal by which it is found
+_BY_GRAM = "~"  # before the capture's name
 
 
 def _key() -> Column:
@@ -416,47 +418,149 @@ def _texts(w: Column) -> Column:
     )
 
 
-def _searches(rules: DataFrame) -> DataFrame:
+def _required(regex: Column) -> Column:
+    """The longest text that every match of a regex contains; null if none is easily seen.
+
+    Groups, classes, escapes of letters and atoms that may be absent end a piece of plain
+    text; alternatives, flags, look-around and quoting are left alone.
+    """
+    odd = r"\||\(\?|\\[QExupPkcN0]|\[[^\]]*\[|&&"
+    x = regex
+    for k, mark in enumerate(_MARKS):
+        x = F.regexp_replace(x, re.escape("\\" + mark), chr(0xE000 + k))
+    x = F.regexp_replace(x, r"\\[A-Za-z0-9]", "\u0001")
+    x = F.regexp_replace(x, r"\[[^\]]*\]", "\u0001")
+    for _ in range(4):
+        x = F.regexp_replace(x, r"\([^()]*\)", "\u0001")
+    nested = x.rlike(r"[()\[\]]")
+    x = F.regexp_replace(x, r"(?s).(?:[*?]|\{[\d,]*\})[?+]?", "\u0001")
+    x = F.regexp_replace(x, r"\+[?+]?|[.^$]", "\u0001")
+    for k, mark in enumerate(_MARKS):
+        x = F.replace(x, F.lit(chr(0xE000 + k)), F.lit(mark))
+    pieces = F.filter(F.split(x, "\u0001"), lambda p: F.length(p) >= GRAM)
+    longest = F.get(F.array_sort(F.transform(pieces, lambda p: F.struct(-F.length(p), p.alias("p")))), F.lit(0))
+    private = regex.rlike("[\u0001\ue000-\ue0ff]")
+    return F.when(~(regex.rlike(odd) | nested | private), longest["p"])
+
+
+#: Characters that stand for themselves after a backslash.
+_MARKS = r"\.*+?()[]{}|^$/-"
+
+
+def _grams(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+
+
+def _pieces(w: Column) -> Column:
+    """The pieces by which a regex condition may be found; null when it has none."""
+    grams = F.array_distinct(_grams(_required(w["value"])))
+    return F.when(w["op"] == "match", F.nullif(grams, F.slice(grams, 1, 0)))
+
+
+def _rarest(searches: DataFrame) -> DataFrame:
+    """``searches`` with ``gram``, of the search's pieces the one that fewest searches have."""
+    pieces = searches.select("key", F.explode("by.pieces").alias("gram"))
+    counts = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = pieces.join(counts, "gram").groupBy("key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return searches.join(best, "key", "left")
+
+
+def _searches(rules: DataFrame, by_literal: bool = True) -> DataFrame:
     """What rules look for, once each, with the capture and text to find it by.
 
-    A search that fixes the texts of a capture all matches have is found by each of them,
-    any other by an empty name; ``rest`` are the conditions left to test.
+    A search that fixes the texts of a capture all matches have is found by each of them.  A
+    regex on such a capture is found by three characters of a text that it requires, those
+    that fewest searches have, with the capture's name marked.  Any other search has an empty
+    name and meets all matches of its shape; ``rest`` are the conditions left to test.  Few
+    rules do without literals, as a match comes with all pieces of its text for them.
     """
     always = [
         f"{name}/{c}" for name, s in sh.REGISTRY.items() for c in s.captures if c not in s.optional
     ]
-    strict = F.filter(
-        "where",
-        lambda w: _texts(w).isNotNull()
-        & F.concat_ws("/", F.col("shape"), w["capture"]).isin(always),
-    )
+    given = F.filter("where", lambda w: F.concat_ws("/", F.col("shape"), w["capture"]).isin(always))
+    strict = F.filter(given, lambda w: _texts(w).isNotNull())
     searches = rules.select("language", "shape", "where", "report", "key").distinct()
-    first = F.get(strict, F.lit(0))
-    texts = F.coalesce(_texts(first), F.array(F.lit("")))
+    searches = searches.withColumn("first", F.get(strict, F.lit(0)))
+    marked = gram = F.lit(None).cast("string")
+    if by_literal:
+        found = F.transform(
+            given, lambda w: F.struct(w["capture"].alias("capture"), _pieces(w).alias("pieces"))
+        )
+        by = F.get(F.filter(found, lambda g: g["pieces"].isNotNull()), F.lit(0))
+        searches = _rarest(searches.withColumn("by", F.when(F.col("first").isNull(), by)))
+        gram = F.col("gram")
+        marked = F.when(gram.isNotNull(), F.concat(F.lit(_BY_GRAM), F.col("by.capture")))
+    first = F.col("first")
+    texts = F.coalesce(_texts(first), F.array(F.coalesce(gram, F.lit(""))))
     return searches.select(
         "language",
         "shape",
         "report",
         "key",
-        F.coalesce(first["capture"], F.lit("")).alias("capture"),
+        F.coalesce(first["capture"], marked, F.lit("")).alias("capture"),
         F.filter("where", lambda w: ~w.eqNullSafe(first)).alias("rest"),
         F.explode(texts).alias("text"),
     )
 
 
-def _wanted_by(rules: RuleSet | DataFrame, keyed: DataFrame) -> tuple[Wanted, frozenset[str] | None]:
-    """Shapes to look for and the captures needed.
+def _met_by(searches: DataFrame) -> Column:
+    """``capture, text`` by which a match may be found, for the captures some search asks for.
+
+    One row for each language, shape and capture asked for comes to the driver.
+    """
+    asked = searches.select("language", "shape", "capture").distinct().collect()
+    place = ["/".join(r) for r in asked]
+    shape = F.concat_ws("/", "language", "shape")
+
+    def asks(name: Column) -> Column:
+        return F.concat_ws("/", shape, name).isin(place)
+
+    def named(c: Column) -> Column:
+        return F.struct(c["name"].alias("capture"), c["text"].alias("text"))
+
+    whole = F.transform(F.filter("caps", lambda c: asks(c["name"])), named)
+    parts = [whole]
+    if any(r["capture"].startswith(_BY_GRAM) for r in asked):
+        marked = F.filter("caps", lambda c: asks(F.concat(F.lit(_BY_GRAM), c["name"])))
+
+        def grams(c: Column) -> Column:
+            name = F.concat(F.lit(_BY_GRAM), c["name"])
+            return F.transform(
+                F.array_distinct(_grams(c["text"])),
+                lambda g: F.struct(name.alias("capture"), g.alias("text")),
+            )
+
+        parts.append(F.flatten(F.transform(marked, grams)))
+    if any(not r["capture"] for r in asked):
+        none = F.struct(F.lit("").alias("capture"), F.lit("").alias("text"))
+        empty = F.slice(F.array(none), 1, 0)
+        parts.append(F.when(asks(F.lit("")), F.array(none)).otherwise(empty))
+    return F.array_distinct(F.concat(*parts))
+
+
+def _local(df: DataFrame) -> DataFrame:
+    """Rows that come from a rule set, which the driver has anyway, as a table of values."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _prepared(
+    rules: RuleSet | DataFrame, spark: SparkSession
+) -> tuple[DataFrame, DataFrame, Wanted, frozenset[str] | None]:
+    """(usable rules with keys, searches, shapes to look for, captures needed).
 
     A rule set narrows the search by its own texts.  Of a rule table, which may be of any
     size, one row per known shape and language comes to the driver.
     """
     if isinstance(rules, DataFrame):
+        keyed = _with_keys(rules)
         used = keyed.select("language", "shape").distinct().collect()
-        return {(r["language"], r["shape"]): [()] for r in used}, None
-    refused = {n for n, _, _ in _refused(rules, keyed.sparkSession)}
-    usable = [r for r in rules if r.rule_no not in refused]
+        wanted = {(r["language"], r["shape"]): [()] for r in used}
+        return keyed, _searches(keyed), wanted, None
+    keyed = _local(_with_keys(rules.to_df(spark)))
+    numbers = {r["rule_no"] for r in keyed.select("rule_no").collect()}
+    usable = [r for r in rules if r.rule_no in numbers]
     needs = frozenset(c for r in usable for c in (*r.report, *(w.capture for w in r.where)))
-    return _wanted(usable), needs
+    return keyed, _local(_searches(keyed, by_literal=False)), _wanted(usable), needs
 
 
 def _holds(w: Column) -> Column:
@@ -474,17 +578,12 @@ def _found(
     corpus: DataFrame, rules: RuleSet | DataFrame, keep: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """(matches with the key of each search they answer, usable rules with their keys)."""
-    table = rules if isinstance(rules, DataFrame) else rules.to_df(corpus.sparkSession)
-    keyed = _with_keys(table)
-    wanted, needs = _wanted_by(rules, keyed)
+    keyed, searches, wanted, needs = _prepared(rules, corpus.sparkSession)
     found = facts_of(corpus, wanted, keep, needs)
-    names = F.transform("caps", lambda c: F.struct(c["name"].alias("capture"), c["text"].alias("text")))
-    open_name = F.array(F.struct(F.lit("").alias("capture"), F.lit("").alias("text")))
-    found_by = F.array_distinct(F.concat(names, open_name))
     columns = [*keep, "path", "fact_no", "caps"]
-    by = found.select(*columns, "language", "shape", F.explode(found_by).alias("by"))
+    by = found.select(*columns, "language", "shape", F.explode(_met_by(searches)).alias("by"))
     by = by.select(*columns, "language", "shape", "by.capture", "by.text")
-    hits = by.join(_searches(keyed), _ON).where(F.forall("rest", _holds))
+    hits = by.join(searches, _ON).where(F.forall("rest", _holds))
     return hits.select(*columns, "key", "report"), keyed
 
 

@@ -162,6 +162,18 @@ def j_file_rule(spark, sf):
     return counts.select("rule_id", "severity", "issues", "files")
 
 
+@query(
+    "j_file_regex",
+    O.RULES
+    + f", {_calls()} SELECT r.id AS rule_id, r.severity, count(*) AS issues, count(DISTINCT path) AS files "
+    "FROM calls c JOIN rules r ON lower(r.language) = c.language AND r.word = c.word WHERE r.rule_no % 100 = 0 GROUP BY ALL",
+)
+def j_file_regex(spark, sf):
+    """A table of regex rules, no two alike: a regex is tried where a match has its literal."""
+    counts = sc.rule_issue_counts(V.all_code(spark, sf), V.regex_rule_table(spark, sf))
+    return counts.select("rule_id", "severity", "issues", "files")
+
+
 @query(
     "rule_problems",
     O.RULES
@@ -327,12 +339,14 @@ def pr_eq(spark, sf):
 
 @query(
     "pr_match",
-    f"SELECT {O.DOC_PATH} AS path, CAST(strlen(text) AS INTEGER) AS bytes FROM documents "
-    "WHERE regexp_matches(text, '(?i)TOKEN = \"')",
+    _JS + ", x AS (SELECT path, line0, event_id FROM l WHERE tpl IN (0, 1)) "
+    "SELECT path, CAST(line0 + 1 AS INTEGER) AS start_line, CAST(event_id AS VARCHAR) AS num FROM x "
+    "WHERE regexp_matches(CAST(event_id AS VARCHAR), '7[0-4]')",
 )
 def pr_match(spark, sf):
-    corpus = V.doc_corpus(spark, sf).where(F.col("src").rlike('(?i)TOKEN = "'))
-    return corpus.select("path", F.octet_length("src").alias("bytes"))
+    spec = sc.pattern("declarator_number", ("num", "match", "7[0-4]"))
+    found = sc.run_pattern(V.code_corpus(spark, sf, "javascript"), spec)
+    return _fact_columns(found, "num").drop("start_column")
 
 
 @query(

@@ -100,6 +100,22 @@ def rule_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def regex_rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule table with a regex of its own for each rule, none two alike.
+
+    Every hundredth rule has one that its word meets; the others need a name that ends in the
+    rule's number.
+    """
+    word, n = F.col("where")[0]["value"], F.col("rule_no").cast("string")
+    common = F.concat(F.lit("^"), word, F.lit("(x"), n, F.lit(")?$"))
+    rare = F.concat(F.lit("^"), word, F.lit("_+"), n, F.lit("(x)?$"))
+    regex = F.when(F.col("rule_no") % 100 == 0, common).otherwise(rare)
+    where = F.array(
+        F.struct(F.lit("fn").alias("capture"), F.lit("match").alias("op"), regex.alias("value"))
+    )
+    return rule_table(spark, sf).withColumn("where", where)
+
+
 def odd_rule_table(spark: SparkSession, sf: str) -> DataFrame:
     """The rule table with faults by rule number modulo 7.
 
