@@ -25,3 +25,9 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """The rows written as a table and read back: computed once, safe from lost executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of tables that nothing reads any more; one that is gone is passed over."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
