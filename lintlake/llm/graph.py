@@ -22,7 +22,7 @@ def _lowest(links: DataFrame) -> DataFrame:
     )
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, folder: str | None = None) -> DataFrame:
     """``node, root`` for every node of ``links(a, b)``: root is the smallest node reachable.
 
     First every node is replaced by the smallest of itself and its neighbours, which shrinks
@@ -32,9 +32,9 @@ def components(links: DataFrame) -> DataFrame:
     with very many links needs no task of its own.  Labels are written below
     ``spark.checkpoint.dir`` after each round, which cuts the lineage and survives lost
     executors.  No links give no rows; null ends and links of a node to itself are ignored;
-    repeated links change nothing.
+    repeated links change nothing.  Tables of the rounds go below ``folder``, by default a new one.
     """
-    folder = shared_folder(links.sparkSession)
+    folder = folder or shared_folder(links.sparkSession)
     given = links.where("a is not null and b is not null and a <> b")
     given = given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     given = stored(given.distinct(), f"{folder}/given")

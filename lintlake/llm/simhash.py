@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.graph import components
-from lintlake.sources.storage import shared_folder, stored
+from lintlake.sources.storage import discard, shared_folder, stored
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -195,7 +195,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, node, n_shingles, pivots, bands`` of every whole text.
+    """``doc_id, node, n_shingles, pivots, bands`` of every whole text.
 
     ``node`` is a hash of the lower-cased words, so copies share it.  Texts without words have
     a null node and no pivots or bands.
@@ -207,25 +207,51 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
             for t in batch.column(1).to_pylist():
                 words = (t or "").encode().lower().split()
                 shingles = word_hashes(words) if words else []
-                node.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) if words else None)
+                node.append(_node(words))
                 count.append(len(shingles))
                 pivots.append(pivot_distances(shingles) if words else [])
                 bands.append(band_keys(shingles) if words else [])
-            longs = [pa.array(x, type=pa.int64()) for x in (node, count)]
-            lists = [pa.array(x, type=pa.list_(pa.int64())) for x in (pivots, bands)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *longs, *lists],
-                ["doc_id", "text", "node", "n_shingles", "pivots", "bands"],
-            )
+            columns = [
+                batch.column(0),
+                pa.array(node, type=pa.int64()),
+                pa.array(count, type=pa.int32()),
+                pa.array(pivots, type=pa.list_(pa.int32())),
+                pa.array(bands, type=pa.list_(pa.int64())),
+            ]
+            names = ["doc_id", "node", "n_shingles", "pivots", "bands"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(
         run,
-        "doc_id bigint, text string, node bigint, n_shingles bigint, pivots array<bigint>,"
-        " bands array<bigint>",
+        "doc_id bigint, node bigint, n_shingles int, pivots array<int>, bands array<bigint>",
     )
 
 
+def _node(words: list[bytes]) -> int | None:
+    return _signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) if words else None
+
+
+def texts_of(
+    docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``node, text``: the text, in lower case, of each ``node, first_id``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]
+            node = pa.array([_node(t.split()) for t in low], type=pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), node, pa.array(low, pa.binary())], ["doc_id", "node", "text"]
+            )
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(run, "doc_id bigint, node bigint, text binary")
+    same = (rows.node == nodes.node) & rows.doc_id.eqNullSafe(nodes.first_id)
+    wanted = rows.join(nodes, same, "left_semi")
+    return wanted.groupBy("node").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
     """The pairs ``a, b`` whose texts have that Jaccard similarity of COMPARED-word shingles.
 
@@ -242,9 +268,9 @@ def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataF
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, y = word_hashes(x.as_py().encode().lower().split()), y.as_py()
+                s, y = word_hashes(x.as_py().split()), y.as_py()
                 if y != last:  # pairs of one b often follow each other
-                    last, t = y, word_hashes(y.encode().lower().split())
+                    last, t = y, word_hashes(y.split())
                 shared = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(shared >= min_similarity * (len(s) + len(t) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
@@ -257,6 +283,7 @@ def similar_texts(
     min_similarity: float = SIMILARITY,
     id_col: str = "doc_id",
     text: str = "text",
+    folder: str | None = None,
 ) -> DataFrame:
     """``doc_id, component_id`` of each row: groups of texts by similarity of their shingles.
 
@@ -270,25 +297,26 @@ def similar_texts(
     within a component are not listed but none between components is left out.  Copies are one
     node.  Texts without words and rows without an id are groups of their own (a null
     ``component_id`` only where no text of the group has an id); repeated rows are returned
-    each; an empty table gives no rows.
+    each; an empty table gives no rows.  Tables between the steps go below ``folder``, by
+    default a new one; those that the result does not read are gone when it is returned.
     """
-    folder = shared_folder(docs.sparkSession)
+    spark = docs.sparkSession
+    folder = folder or shared_folder(spark)
     numbered = sketches(docs, id_col, text).withColumn("row", F.monotonically_increasing_id())
     drawn = stored(numbered, f"{folder}/sketches")
     firsts = drawn.where("node is not null").groupBy("node")
     firsts = stored(
         firsts.agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row")), f"{folder}/firsts"
     )
-    texts = stored(
-        drawn.select("row", "node", "text").join(firsts.select("row"), "row", "left_semi").drop("row"),
-        f"{folder}/texts",
-    )
     one = drawn.join(firsts.select("row"), "row", "left_semi")
     pivots = one.select("node", "n_shingles", "pivots")
     keyed = one.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"))
     shared = shared.where("n > 1").drop("n")
     keyed = stored(keyed.join(shared, "key").join(pivots, "node"), f"{folder}/keyed")
+    asked = firsts.select("node", "first_id").join(keyed.select("node"), "node", "left_semi")
+    texts = texts_of(docs, asked, id_col, text)
+    texts = stored(texts, f"{folder}/texts")
 
     def compared(x: DataFrame, y: DataFrame, rest: Column, name: str) -> DataFrame:
         a, b = F.col("x.node"), F.col("y.node")
@@ -296,11 +324,13 @@ def similar_texts(
         pairs = x.alias("x").join(y.alias("y"), mates)
         pairs = pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
         pairs = stored(pairs, f"{folder}/pairs-{name}")
-        return stored(verified(pairs, texts, min_similarity), f"{folder}/links-{name}")
+        links = stored(verified(pairs, texts, min_similarity), f"{folder}/links-{name}")
+        discard(spark, f"{folder}/pairs-{name}")
+        return links
 
     heads = keyed.where("node = low")
     near = compared(keyed, heads, F.col("x.node") != F.col("y.node"), "heads")
-    roots = components(near).withColumnRenamed("root", "group")
+    roots = components(near, f"{folder}/near").withColumnRenamed("root", "group")
     grouped = keyed.join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
     mixed = grouped.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h"))
     grouped = grouped.join(mixed.where("g <> h").select("key"), "key", "left_semi")
@@ -308,7 +338,9 @@ def similar_texts(
     apart = (F.col("x.group") != F.col("y.group")) & (F.col("x.node") < F.col("y.node"))
     rest = compared(grouped, grouped, apart, "rest")
 
-    ends = components(near.union(rest))
+    for done in ("texts", "keyed", "grouped", "near"):
+        discard(spark, f"{folder}/{done}")
+    ends = components(near.union(rest), f"{folder}/ends")
     named = firsts.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = named.join(lowest, "root").select("node", "component_id")

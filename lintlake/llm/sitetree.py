@@ -21,8 +21,8 @@ BROADCAST_NODES = 200_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*'|['\"](?=[^<>'\"]*>))*+)>"
     r"|<[!?/][^>]*>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -216,6 +216,8 @@ def importance(rows: DataFrame) -> DataFrame:
     used = rows.groupBy("site", "node", "kind", "feature").agg(
         F.count("*").alias("k"), F.first("above").alias("above")
     )
+    # read three times below, so that pages are parsed once for it
+    used = stored(used, f"{shared_folder(rows.sparkSession)}/tree")
     styles = used.where("kind = 0").groupBy("site", "node").agg(
         F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("klogk")
     )

@@ -153,3 +153,11 @@ def test_copies_are_one_page_of_the_tree(spark):
     assert [text[40 + i] for i in range(20)] == ["Head 0\nOwn text 0", "Head 1\nOwn text 1"] * 10
     assert text[70] == "Classed text"
     assert {text[80 + i] for i in range(3)} == {"Head 3\nOwn text 3"}
+
+
+def test_custom_tags_and_unclosed_quotes():
+    from lintlake.llm.sitetree import main_text
+
+    assert main_text("<style-guide>x</style-guide><p>after</p><style>y</style>", set()) == "x\nafter"
+    assert main_text('<p class="x>hello', set()) == "hello"
+    assert main_text("<p title='b>c'>d</p>", set()) == "d"
