@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake import schemas
@@ -12,7 +12,7 @@ from lintlake.functions import scalars as S
 from lintlake.operators import dashboard as D
 from lintlake.operators import incremental as inc
 from lintlake.operators import ingest as ing
-from lintlake.operators import policy, pyast, report
+from lintlake.operators import policy, report
 from lintlake.operators import scan as sc
 from lintlake.plans import oracle as O
 from lintlake.plans import views as V
@@ -20,7 +20,8 @@ from lintlake.plans.catalog import bundled_rules, documented_settimeout
 from lintlake.sources import files as fs
 from lintlake.sources import rules as R
 from lintlake.sources import sarif
-from lintlake.sources.storage import shared_folder, stored
+from lintlake.sources.storage import shared_folder
+from lintlake.sources.versioned import KeyedTable
 from lintlake.streaming import stream as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,18 +73,14 @@ def scan_rule(spark, sf):
 @query(
     "o_issues",
     f"{_ALL} SELECT file_path, start_line, start_column, rule_id, CAST(row_number() OVER (PARTITION BY file_path "
-    "ORDER BY rule_no, start_line, start_column) AS INTEGER) AS position FROM issues WHERE rule_id LIKE 'js-%'",
+    "ORDER BY rule_no, start_line, start_column) AS INTEGER) AS position FROM issues",
 )
 def o_issues(spark, sf):
-    """Position in the report of each file; files hold a bounded number of lines here."""
-    rules = R.RuleSet(r for r in bundled_rules() if r.id.startswith("js-"))
-    issues = sc.scan_all(V.code_corpus(spark, sf, "javascript"), rules)
-    ordered = F.array_sort(
-        F.collect_list(F.struct("rule_no", "fact_no", "cap_no", "start_line", "start_column", "rule_id"))
-    )
-    files = issues.groupBy("file_path").agg(ordered.alias("all"))
-    return files.select("file_path", F.posexplode("all").alias("pos", "x")).select(
-        "file_path", "x.start_line", "x.start_column", "x.rule_id", (F.col("pos") + 1).alias("position")
+    """Position in the report of each file: a file's issues are as many as its text allows."""
+    issues = report.ordered_issues(sc.scan_all(V.all_code(spark, sf), bundled_rules()))
+    order = Window.partitionBy("file_path").orderBy(*schemas.ISSUE_ORDER)
+    return issues.select(
+        "file_path", "start_line", "start_column", "rule_id", F.row_number().over(order).alias("position")
     )
 
 
@@ -300,17 +297,21 @@ def facts_html(spark, sf):
     return found.groupBy("shape", name.alias("name")).agg(F.count(F.lit(1)).alias("facts"))
 
 
+_PY_STATEMENTS = "rule_id IN ('py-no-bare-except', 'py-no-assert-in-production', 'py-no-global-statement')"
+
+
 @query(
     "facts_python_ast",
-    f"{O.issues('py-no-bare-except')} SELECT file_path AS path, 'except_bare' AS shape, start_line, start_column, end_line, end_column, code_snippet AS text FROM issues",
+    f"{_ALL} SELECT file_path AS path, CASE rule_id WHEN 'py-no-bare-except' THEN 'except_bare' ELSE 'stmt_keyword' END AS shape, "
+    f"start_line, start_column, end_line, end_column, code_snippet AS text FROM issues WHERE {_PY_STATEMENTS}",
 )
 def facts_python_ast(spark, sf):
-    found = pyast.python_ast_facts(V.code_corpus(spark, sf, "python"))
+    """Python statements with their whole spans, from the token shapes."""
+    wanted = {("python", "except_bare"): [()], ("python", "stmt_keyword"): [()]}
+    found = sc.facts_of(V.code_corpus(spark, sf, "python"), wanted)
     c = F.get("caps", F.lit(0))
     fields = ("start_line", "start_column", "end_line", "end_column", "text")
-    return found.where("shape = 'except_bare'").select(
-        "path", "shape", *[c[f].alias(f) for f in fields]
-    )
+    return found.select("path", "shape", *[c[f].alias(f) for f in fields])
 
 
 _LINES = (
@@ -447,6 +448,17 @@ def src_scan_dir(spark, sf):
     return _attr_counts(fs.scan_dir(spark, _page_files(spark, sf), recursive=True))
 
 
+@query("src_scan_flat", _PAGE_ATTRS.replace("FROM pages", "FROM pages WHERE page_id % 4 = 1"))
+def src_scan_flat(spark, sf):
+    """One folder without those in it."""
+    folder = _page_files(spark, sf)
+    pages = V.table(spark, sf, "pages").select("html")
+    pages.write.options(extension="htm", quoteAll="false", escapeQuotes="false", quote="\x00", sep="\x01").csv(
+        f"{folder}/shelf=1/deeper"
+    )
+    return _attr_counts(fs.scan_dir(spark, f"{folder}/shelf=1"))
+
+
 @query("src_scan_path", _PAGE_ATTRS)
 def src_scan_path(spark, sf):
     return _attr_counts(fs.scan_path(spark, _page_files(spark, sf), recursive=True))
@@ -468,9 +480,26 @@ def _page_files(spark: SparkSession, sf: str) -> str:
 
 @query(
     "src_rejects",
-    f"SELECT {O.DOC_PATH} AS path, 'unsupported extension' AS reason FROM documents WHERE {O.DOC_LANGUAGE} IS NULL",
+    "SELECT 'unsupported extension' AS reason, CAST(count(*) AS BIGINT) AS files FROM region UNION ALL "
+    "SELECT 'not UTF-8', count(*) FROM nation",
 )
 def src_rejects(spark, sf):
+    """A folder with a file of another kind for each region, one that is not UTF-8 for each nation,
+    and the pages, which can be scanned."""
+    folder = _page_files(spark, sf)
+    one = {"maxRecordsPerFile": 1}
+    V.table(spark, sf, "region").select("r_name").write.options(**one).text(f"{folder}/other")
+    latin = {**one, "extension": "htm", "encoding": "ISO-8859-1", "quote": "\x00"}
+    names = V.table(spark, sf, "nation").select(F.concat("n_name", F.lit("\u00e9 ")))
+    names.write.options(**latin).csv(f"{folder}/latin")
+    return fs.rejects(spark, folder, recursive=True).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(
+    "text_rejects",
+    f"SELECT {O.DOC_PATH} AS path, 'unsupported extension' AS reason FROM documents WHERE {O.DOC_LANGUAGE} IS NULL",
+)
+def text_rejects(spark, sf):
     return fs.text_rejects(V.doc_corpus(spark, sf))
 
 
@@ -558,29 +587,23 @@ def u_rules_duplicates(spark, sf):
     O.RULES + "SELECT language, severity, word, count(*) AS rules FROM rules GROUP BY ALL",
 )
 def src_rules_yaml(spark, sf):
-    """Rule files written as JSON (which is YAML) and read back, one file text per row."""
+    """Rule files written as JSON (which is YAML) and loaded as one rule set.
+
+    A rule set is what a driver holds; these rules are as many as the table ``part`` has rows.
+    """
     rules = V.rule_table(spark, sf)
     body = F.struct(
         "id", "name", "severity", "language", "message",
         F.struct("shape", "where").alias("query"),
     )
-    files = rules.groupBy((F.col("rule_no") % 50).alias("file_no"), F.floor(F.col("rule_no") / 1000).alias("block")).agg(
-        F.to_json(F.struct(F.collect_list(body).alias("rules"))).alias("yaml")
+    block = F.floor(F.col("rule_no") / 1000)
+    files = rules.groupBy(block).agg(F.to_json(F.struct(F.collect_list(body).alias("rules"))).alias("value"))
+    folder = shared_folder(spark)
+    files.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    read = R.load_rules(spark, f"{folder}/*.txt").to_df(spark)
+    return read.groupBy("language", "severity", F.col("where")[0]["value"].alias("word")).agg(
+        F.count(F.lit(1)).alias("rules")
     )
-    read = files.mapInPandas(_parse_rule_files, "language string, severity string, word string")
-    return read.groupBy("language", "severity", "word").agg(F.count(F.lit(1)).alias("rules"))
-
-
-def _parse_rule_files(frames):
-    import pandas as pd
-
-    for frame in frames:
-        rows = [
-            (r.language, r.severity, r.where[0].value)
-            for text in frame["yaml"]
-            for r in R.parse_rules(text)
-        ]
-        yield pd.DataFrame(rows, columns=["language", "severity", "word"])
 
 
 # --- dashboard -----------------------------------------------------------------------
@@ -897,16 +920,25 @@ def findings_page_ingested(spark, sf):
     return D.findings_page(got.findings, got.scans, repos, org_id=7)
 
 
-@query("sink_scans", O.STAR + "SELECT id, repo_id, commit_sha, branch, created_at, passed FROM scans UNION ALL SELECT id, repo_id, commit_sha, branch, created_at, passed FROM scans WHERE passed")
+_RAW_SCANS = "SELECT j.scan_id AS id, a.commit_sha, a.branch, a.created_at, j.passed, j.findings_count AS raw_results FROM judged j JOIN accepted a ON a.scan_id = j.scan_id"
+
+
+@query("sink_scans", O.STAR + f"{_RAW_SCANS} UNION ALL {_RAW_SCANS} WHERE j.passed")
 def sink_scans(spark, sf):
-    """Scans appended; the same commit sent twice is two rows."""
-    scans = V.scans(spark, sf)
+    """Scans appended with their raw documents; the same commit sent twice is two rows."""
+    scans = _ingested(spark, sf).scans
     folder = shared_folder(spark)
     ing.append(scans, folder)
-    ing.append(scans.where("passed"), folder)
-    return spark.read.schema(scans.schema).parquet(folder).select(
-        "id", "repo_id", "commit_sha", "branch", "created_at", "passed"
-    )
+    ing.append(spark.read.schema(scans.schema).parquet(folder).where("passed"), folder)
+    back = spark.read.schema(scans.schema).parquet(folder)
+    return back.select("id", "commit_sha", "branch", "created_at", "passed", _raw_results("sarif_json"))
+
+
+def _raw_results(document: str):
+    """How many results a raw document holds."""
+    raw = F.from_json(document, "runs array<struct<results array<struct<ruleId:string>>>>")
+    each = F.transform(raw["runs"], lambda r: F.size(r["results"]))
+    return F.aggregate(each, F.lit(0).cast("bigint"), lambda n, x: n + x).alias("raw_results")
 
 
 @query(
@@ -1078,7 +1110,8 @@ def j_cache_lookup(spark, sf):
 def m_cache_put(spark, sf):
     old, new = _versions(spark, sf)
     fifth = F.regexp_extract("path", r"/(\d+)\.", 1).cast("bigint") % 5 == 0
-    return inc.put(_cache_of(old), _cache_of(new.where(fifth))).select("path", "content_sha")
+    entries = _cache_of(new.where(fifth))
+    return inc.put(_cache_of(old), entries, by=("path",)).select("path", "content_sha")
 
 
 @query("a_cache_len", "SELECT count(*) AS entries, count(*) = 0 AS is_empty FROM documents")
@@ -1097,22 +1130,20 @@ query("a_cache_empty", ORACLE["a_cache_len"])(a_cache_len)
 _JS_ONLY = "rule_id NOT LIKE 'py-%' AND rule_id NOT LIKE 'ts-%' AND rule_id NOT LIKE 'html-%'"
 
 
-@query("inc_scan", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_JS_ONLY}")
+@query("inc_scan", ORACLE["scan_all"])
 def inc_scan(spark, sf):
-    """Table of an earlier state, then a scan of the present one: only the rest is read."""
-    rules = R.RuleSet(r for r in bundled_rules() if r.language == "javascript")
-    now = V.code_corpus(spark, sf, "javascript")
+    """A scan of an earlier state fills the table, a scan of the present one reads the rest."""
+    rules = bundled_rules()
+    now = V.all_code(spark, sf)
     user = F.regexp_extract("path", r"_(\d+)/", 1).cast("bigint")
     before = now.where(user % 2 == 0).unionByName(
         now.where(user % 2 == 1)
         .withColumn("src", F.concat("src", F.lit("\n// TODO")))
         .withColumn("content_sha", S.sha256_hex(F.col("src")))
     )
-    folder = shared_folder(spark)
-    empty = spark.createDataFrame([], inc.CACHE)
-    _, entries = inc.incremental_scan(before, rules, empty, lambda d: stored(d, f"{folder}/v1"))
-    issues, _ = inc.incremental_scan(now, rules, entries, lambda d: stored(d, f"{folder}/v2"))
-    return issues.select(*_ISSUE)
+    table = KeyedTable(spark, shared_folder(spark), inc.CACHE, ("path",))
+    inc.scan_into(before, rules, table, 0, by=("path",))
+    return inc.scan_into(now, rules, table, 1, by=("path",)).select(*_ISSUE)
 
 
 # --- scalars -------------------------------------------------------------------------
@@ -1296,19 +1327,55 @@ def _append_stream(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out").drop("batch_id")
 
 
-@query("st_ingest", ORACLE["ingest_findings"])
-def st_ingest(spark, sf):
+def _ingest_stream(spark, sf, name: str) -> DataFrame:
+    """A table that the ingest stream filled, after its last batch came a second time."""
     folder = shared_folder(spark)
     arriving = _as_stream(spark, V.submissions(spark, sf), f"{folder}/in")
     old = V.repos(spark, sf).where("id % 3 = 0")
     st.ingest_stream(arriving, V.api_keys(spark, sf), V.orgs(spark, sf), old, folder)
-    back = st.read_table(
-        spark,
-        f"{folder}/findings",
-        "id string, scan_id string, org_id bigint, rule_id string, severity string, "
-        "file_path string, line_number int, message string",
+    return st.ingested(spark, folder, name)
+
+
+@query("st_ingest", ORACLE["ingest_findings"])
+def st_ingest(spark, sf):
+    return _ingest_stream(spark, sf, "findings").drop("id")
+
+
+@query("st_ingest_repos", ORACLE["m_repo_upsert"])
+def st_ingest_repos(spark, sf):
+    return _ingest_stream(spark, sf, "repositories").select("org_id", "github_repo", "id")
+
+
+@query(
+    "st_ingest_scans",
+    O.STAR + "SELECT j.scan_id AS id, a.org_id, a.repo, a.commit_sha, a.branch, j.passed, j.findings_count, "
+    "j.findings_count AS raw_results, r.id IS NOT NULL AS known_repo FROM judged j JOIN accepted a ON a.scan_id = j.scan_id "
+    "LEFT JOIN repos r ON r.github_repo = a.repo AND r.org_id = a.org_id AND r.id % 3 = 0",
+)
+def st_ingest_scans(spark, sf):
+    """Scans with their raw documents, read again here, and the repository they were given."""
+    scans = _ingest_stream(spark, sf, "scans")
+    return scans.select(
+        "id",
+        "org_id",
+        "repo",
+        "commit_sha",
+        "branch",
+        "passed",
+        "findings_count",
+        _raw_results("sarif_json"),
+        F.col("repo_id").rlike("^[0-9]{1,18}$").alias("known_repo"),
     )
-    return back.drop("id")
+
+
+@query("st_ingest_outbox", ORACLE["ingest_outbox"])
+def st_ingest_outbox(spark, sf):
+    return _ingest_stream(spark, sf, "outbox")
+
+
+@query("st_ingest_quarantine", ORACLE["ingest_quarantine"])
+def st_ingest_quarantine(spark, sf):
+    return _ingest_stream(spark, sf, "quarantine").select("submission_id", "reason")
 
 
 @query("st_gate", O.STAR + "SELECT submission_id, passed, findings_count FROM judged")
@@ -1323,23 +1390,21 @@ def st_gate(spark, sf):
     return _append_stream(st.gate_stream(arriving, policies), folder)
 
 
-@query("st_scan", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_JS_ONLY}")
+@query("st_scan", ORACLE["scan_all"])
 def st_scan(spark, sf):
     folder = shared_folder(spark)
-    arriving = _as_stream(spark, V.code_corpus(spark, sf, "javascript"), f"{folder}/in")
-    rules = R.RuleSet(r for r in bundled_rules() if r.language == "javascript")
-    return _append_stream(st.scan_stream(arriving, rules), folder).select(*_ISSUE)
+    arriving = _as_stream(spark, V.all_code(spark, sf), f"{folder}/in")
+    return _append_stream(st.scan_stream(arriving, bundled_rules()), folder).select(*_ISSUE)
 
 
-@query("st_inc", f"{_ALL} SELECT {O.ISSUE_COLUMNS} FROM issues WHERE {_JS_ONLY}")
+@query("st_inc", ORACLE["scan_all"])
 def st_inc(spark, sf):
-    """Every file arrives twice and is scanned once."""
+    """Every file arrives twice, in whatever batch, and is scanned once."""
     folder = shared_folder(spark)
-    code = V.code_corpus(spark, sf, "javascript")
-    twice = code.unionByName(code).withColumn("arrived_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    arriving = _as_stream(spark, twice, f"{folder}/in")
-    rules = R.RuleSet(r for r in bundled_rules() if r.language == "javascript")
-    return _append_stream(st.scan_new_stream(arriving, rules), folder).select(*_ISSUE)
+    code = V.all_code(spark, sf)
+    arriving = _as_stream(spark, code.unionByName(code), f"{folder}/in")
+    st.scan_new_stream(arriving, bundled_rules(), folder)
+    return st.new_issues(spark, folder, schemas.ISSUES).select(*_ISSUE)
 
 
 @query(
@@ -1350,5 +1415,4 @@ def st_repo_state(spark, sf):
     folder = shared_folder(spark)
     judged = V.verdicts(spark, sf).withColumnRenamed("scan_id", "id")
     scans = V.raw_scans(spark, sf).join(judged, "id").select("repo_id", "created_at", "id", "passed", "findings_count")
-    last = st.repo_state_stream(_as_stream(spark, scans, f"{folder}/in"), folder)
-    return spark.read.schema(scans.schema).parquet(last)
+    return st.repo_state_stream(_as_stream(spark, scans, f"{folder}/in"), f"{folder}/state").read()

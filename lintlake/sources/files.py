@@ -21,19 +21,22 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_dir(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    """Files below a folder, or only those in it (``k=v`` folders are folders too).
+    """Files below a folder, or only those in it; other folders in it are not listed then.
 
-    Tests on ``_metadata`` choose files when they are listed, before any is read.
+    Names are chosen when files are listed, before any is read.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.load(path)
     if recursive:
-        return files
+        return reader.load(path)
     folder, fs = _hadoop(spark, path)
-    root = fs.makeQualified(folder)
-    own = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")
-    listed = files.where(own.endswith(root.toUri().getRawPath()))
-    return listed.where(F.regexp_replace("path", r"/[^/]*$", "") == root.toString())
+    if not fs.exists(folder):
+        raise FileNotFoundError(f"path does not exist: {path}")
+    own = [s.getPath().toString() for s in fs.listStatus(folder) if s.isFile()]
+    own = [p for p in own if p.rsplit("/", 1)[-1][0] not in "._"]  # as Spark lists a folder
+    if not own:
+        none = "path string, modificationTime timestamp, length bigint, content binary"
+        return reader.schema(none).load(path).where(F.lit(False))
+    return spark.read.format("binaryFile").load(own)
 
 
 def _supported(files: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lintlake import schemas
 from lintlake.operators import scan as sc
-from lintlake.operators.pyast import python_ast_facts
 from lintlake.operators.shapes import Condition
 from lintlake.plans.catalog import bundled_rules, documented_settimeout
 from lintlake.sources.rules import Rule, RuleSet, parse_rules
+from tests.python_ast import python_ast_facts
 
 LANG = {"js": "javascript", "ts": "typescript", "py": "python", "html": "html"}
 

@@ -302,7 +302,7 @@ def test_incremental_scan_keeps_files_of_one_path_apart(spark):
     empty = spark.createDataFrame([], inc.CACHE)
     first, entries = inc.incremental_scan(code, rules, empty, lambda d: stored(d, f"{folder}/a"))
     assert sorted(map(repr, first.collect())) == full and entries.count() == 2
-    table = stored(inc.put(empty, entries), f"{folder}/table")
+    table = stored(inc.put(empty, entries, by=("path",)), f"{folder}/table")
     late = code.unionByName(spark.createDataFrame([("b.js", "javascript", "eval(4)", "4")], schemas.CORPUS))
     again, new = inc.incremental_scan(late, rules, table)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, sc.scan_all(late, rules).collect()))
@@ -344,7 +344,8 @@ def test_overview_ties_and_repositories_without_scans(spark):
 SAMPLE = (
     "st_ingest st_gate st_scan st_inc st_repo_state scan_all findings_page repo_overview "
     "ingest_findings sink_sarif s_policy_parse findings_page_ingested sink_sarif_whole "
-    "inc_scan rule_problems j_file_rule sink_json"
+    "inc_scan rule_problems j_file_regex sink_json st_ingest_repos st_ingest_scans st_ingest_outbox "
+    "st_ingest_quarantine src_scan_flat src_rejects src_rules_yaml sink_scans o_issues facts_python_ast"
 ).split()
 
 
@@ -353,7 +354,7 @@ def test_registered_query_equals_its_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("nation", "customer", "orders", "lineitem", "events", "documents", "pages", "part"):
+    for t in ("region", "nation", "customer", "orders", "lineitem", "events", "documents", "pages", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = q.QUERIES[name](spark, sf)
     columns = sorted(got.columns)
