@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.sources.storage import shared_folder, stored
+
 # Java looks single Latin-1 characters of a class up in one table, ranges one by one; so
 # the classes of the hot loops list their characters, and the rest of Unicode is apart.
 _SPACE_CHARS = r" \t\n\r\f\x0B\xA0"
@@ -128,3 +130,111 @@ def newlines(text: Column) -> Column:
 
 def last_line_bytes(text: Column) -> Column:
     return F.octet_length(F.substring_index(text, "\n", -1))
+
+
+# --- tokens as rows -------------------------------------------------------------------
+
+LONG_BYTES = 4 << 20  # a longer text is cut into pieces
+PIECE_TOKENS = 4096
+
+
+def _pieces(src: Column, language: str, tokens: int) -> Column:
+    """The text in pieces of about ``tokens`` whole tokens.
+
+    No piece starts with a character that the tokens before it decide the meaning of, so a
+    piece has the same tokens by itself.
+    """
+    token = _TOKEN[language]
+    piece = rf"(?:{token}){{1,{tokens}}}+(?:(?=[/#\"'])(?:{token}))*+"
+    return F.regexp_extract_all(src, F.lit(piece), F.lit(0))
+
+
+def _numbered(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """The tokens of each piece with what comes before them in it: tokens, bytes, line ends
+    (``nl``) and the byte after the last of these (``line_at``)."""
+    language = F.col("language")
+    cut = None
+    for name in _TOKEN:
+        tokens = code_tokens(F.col("piece"), name)
+        cut = F.when(language == name, tokens) if cut is None else cut.when(language == name, tokens)
+    rows = pieces.select(*by, "language", F.posexplode(cut).alias("k", "text"))
+    return _before(rows.withColumns(_measures("text")), by, "k")
+
+
+def _measures(text: str) -> dict[str, Column]:
+    n = newlines(F.col(text))
+    return {"bytes": F.octet_length(text).cast("bigint"), "ends": n.cast("bigint"), "tail": last_line_bytes(F.col(text))}
+
+
+def _before(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Sums over the rows of a group that come before each of them."""
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)))
+    line_at = F.when(F.col("ends") > 0, F.col("at") + F.col("bytes") - F.col("tail"))
+    return rows.withColumns(
+        {
+            "nl": F.coalesce(F.sum("ends").over(earlier), F.lit(0)),
+            "line_at": F.max(line_at).over(earlier),
+        }
+    )
+
+
+def token_rows(
+    corpus: DataFrame, long_bytes: int = LONG_BYTES, piece_tokens: int = PIECE_TOKENS
+) -> DataFrame:
+    """``path, language, token_no, at, line, col, text``: each token of the code files.
+
+    ``at`` is the byte offset, ``line`` and ``col`` are the 1-based line and byte column.  A
+    text up to ``long_bytes`` is one task's work.  A longer one is cut into pieces at token
+    borders, one pass that keeps nothing but the pieces, and its pieces are dealt out to all
+    tasks; totals of pieces are summed up over the file, tokens within their piece.  The rows
+    are the same either way.  Paths are unique; a null text has no tokens.
+    """
+    code = corpus.withColumn("language", F.lower("language")).where(F.col("language").isin(list(_TOKEN)))
+    is_long = F.octet_length("src") > long_bytes
+    columns = ["path", "language", "token_no", "at", "line", "col", "text"]
+
+    short = code.where(~is_long).select("path", "language", F.col("src").alias("piece"))
+    rows = _numbered(short.repartition("path"), ["path"])
+    short = rows.select(
+        "path",
+        "language",
+        F.col("k").cast("bigint").alias("token_no"),
+        "at",
+        (F.col("nl") + 1).alias("line"),
+        (F.col("at") - F.coalesce("line_at", F.lit(0)) + 1).alias("col"),
+        "text",
+    )
+
+    cut = None
+    for name in _TOKEN:
+        pieces, test = _pieces(F.col("src"), name, piece_tokens), F.col("language") == name
+        cut = F.when(test, pieces) if cut is None else cut.when(test, pieces)
+    pieces = code.where(is_long).select("path", "language", F.posexplode(cut).alias("p", "piece"))
+    pieces = stored(pieces.repartition("path", "p"), f"{shared_folder(corpus.sparkSession)}/pieces")
+    rows = _numbered(pieces.repartition("path", "p"), ["path", "p"])
+    sizes = rows.groupBy("path", "p").agg(F.count(F.lit(1)).alias("tokens"))
+    totals = pieces.select("path", "p", *[c.alias(n) for n, c in _measures("piece").items()])
+    totals = _before(totals.join(sizes, ["path", "p"]), ["path"], "p")
+    earlier = Window.partitionBy("path").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        "path",
+        "p",
+        F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("p_no"),
+        F.col("at").alias("p_at"),
+        F.col("nl").alias("p_nl"),
+        F.col("line_at").alias("p_line_at"),
+    )
+    rows = rows.join(totals, ["path", "p"])
+    at = F.col("p_at") + F.col("at")
+    line_at = F.coalesce(F.col("p_at") + F.col("line_at"), F.col("p_line_at"), F.lit(0))
+    long = rows.select(
+        "path",
+        "language",
+        (F.col("p_no") + F.col("k")).alias("token_no"),
+        at.alias("at"),
+        (F.col("p_nl") + F.col("nl") + 1).alias("line"),
+        (at - line_at + 1).alias("col"),
+        "text",
+    )
+    return short.select(*columns).unionByName(long.select(*columns))

@@ -14,6 +14,7 @@ from lintlake.operators import incremental as inc
 from lintlake.operators import ingest as ing
 from lintlake.operators import policy, report
 from lintlake.operators import scan as sc
+from lintlake.operators import tokens as tk
 from lintlake.plans import oracle as O
 from lintlake.plans import views as V
 from lintlake.plans.catalog import bundled_rules, documented_settimeout
@@ -237,6 +238,29 @@ def q_captures(spark, sf):
     return found.select("path", "start_line", "start_column", "text")
 
 
+@query(
+    "facts_token_rows",
+    f"SELECT path, CAST(bytes AS BIGINT) AS bytes, breaks + 1 AS lines, true AS gapless FROM ("
+    f"SELECT {O.DOC_PATH} AS path, {O.DOC_LANGUAGE} AS language, strlen(text) AS bytes, "
+    "strlen(text) - strlen(replace(text, chr(10), '')) AS breaks FROM documents) "
+    "WHERE language IS NOT NULL AND bytes > 0",
+)
+def facts_token_rows(spark, sf):
+    """Tokens as rows; texts over 2,000 bytes are cut into pieces, which many tasks read."""
+    rows = tk.token_rows(V.doc_corpus(spark, sf), long_bytes=2000, piece_tokens=64)
+    own = F.octet_length("text")
+    last = F.max(F.struct("token_no", "line", "text"))
+    files = rows.groupBy("path").agg(
+        F.sum(own).alias("bytes"), F.max(F.col("at") + own).alias("end"), F.count(F.lit(1)).alias("n"), last.alias("last")
+    )
+    return files.select(
+        "path",
+        "bytes",
+        (F.col("last.line") + tk.newlines(F.col("last.text"))).cast("bigint").alias("lines"),
+        ((F.col("n") == F.col("last.token_no") + 1) & (F.col("end") == F.col("bytes"))).alias("gapless"),
+    )
+
+
 @query(
     "facts_tokens",
     f"SELECT path, language, CAST(bytes AS BIGINT) AS bytes, true AS whole FROM ("
@@ -245,8 +269,6 @@ def q_captures(spark, sf):
 )
 def facts_tokens(spark, sf):
     """Tokens cover a text whole: their concatenation is the text."""
-    from lintlake.operators import tokens as tk
-
     out = None
     corpus = V.doc_corpus(spark, sf)
     for lang in ("javascript", "typescript", "python"):
