@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.graph import components
+from lintlake.llm.spans import slices
 from lintlake.sources.storage import discard, shared_folder, stored
 
 SHINGLE = 3
@@ -202,7 +203,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             node, count, pivots, bands = [], [], [], []
             for t in batch.column(1).to_pylist():
                 words = (t or "").encode().lower().split()
@@ -238,7 +239,7 @@ def texts_of(
     """``node, text``: the text, in lower case, of each ``node, first_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             low = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]
             node = pa.array([_node(t.split()) for t in low], type=pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lintlake.llm.spans import slices
+
 BUCKETS = 1 << 17
 DIM = 8
 SPAN, STEP = 16, 8
@@ -21,7 +23,7 @@ TOXIC_WEIGHT = 0.2
 FULL_SAMPLE = 200_000  # words
 RATE = 0.1
 DAMPING = 0.03  # keeps seldom-seen subwords from steps as long as common ones get
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -239,7 +241,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value.astype(np.float64), bias)
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             z = np.array([own.windows(words_of(x)).max() for x in texts], dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
