@@ -49,6 +49,11 @@ def _words(form: Column) -> Column:
     return F.filter(F.split(form, " "), lambda w: w != "")
 
 
+def _unmarked(raw: str) -> Column:
+    """Raw words without the marks of names."""
+    return F.transform(raw, lambda w: F.translate(w, NAME, ""))
+
+
 def _windows(words: Column, size: int, stride: int) -> Column:
     """``pos, h`` of the windows of ``size`` words every ``stride`` words; none in shorter texts."""
     last = F.size(words) - size
@@ -105,7 +110,10 @@ def find_leaks(
 
     Items and documents are turned into templates, word by word.  All windows of WINDOW words
     of an item, and those at every STRIDE-th word of a document, meet in a join on their hash;
-    any shared run of MIN_RUN template words holds such a pair.  Each pair gives an alignment,
+    any shared run of MIN_RUN template words holds such a pair.  Windows of raw words meet as
+    well, so a copy is found whatever words look like names in it; template windows of an item
+    without any literal word are left out, since every table of numbers would meet them (a run
+    of them is found as a copy or by its other windows).  Each pair gives an alignment,
     which is compared in full, word by word: a word is equal if its template or its raw word is.
     A run of equal words counts if it has MIN_RUN words (or the whole item) and is a word-for-word
     copy, or if MIN_LITERALS words of the alignment (all, for an item with fewer) are equal and no
@@ -124,18 +132,28 @@ def find_leaks(
     work = shared_folder(spark)
     items = _tokens(benchmark, item_text, F.col(item_id).alias("item_id")).distinct()
     items = items.select("item_id", _words("raw").alias("raw"), _words("template").alias("words"))
+    items = items.withColumn("plain", _unmarked("raw"))
     items = stored(items.where(F.size("words") > 0), f"{work}/items")
     short = [
         r[0]
         for r in items.where(F.size("words") < MIN_RUN).select(F.size("words")).distinct().collect()
     ]
     size = F.size("words")
-    own = F.lit(None).cast("array<struct<pos:int,h:bigint>>")
-    for n in short:  # at most MIN_RUN - 1 lengths
-        own = F.when(size == n, _windows(F.col("words"), n, n)).otherwise(own)
-    sought = items.select(
-        "item_id", F.explode(F.coalesce(own, _windows(F.col("words"), WINDOW, 1))).alias("w")
-    ).select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h"))
+    def probes(words: Column) -> Column:
+        own = F.lit(None).cast("array<struct<pos:int,h:bigint>>")
+        for n in short:  # at most MIN_RUN - 1 lengths
+            own = F.when(size == n, _windows(words, n, n)).otherwise(own)
+        return F.coalesce(own, _windows(words, WINDOW, 1))
+
+    span = F.when(size < MIN_RUN, size).otherwise(WINDOW)
+    worded = F.filter(
+        probes(F.col("words")),
+        lambda w: F.exists(F.slice("words", w["pos"] + 1, span), lambda x: ~x.isin(NAME, NUMBER, UNIT)),
+    )
+    both = F.array_distinct(F.concat(worded, probes(F.col("plain"))))
+    sought = items.select("item_id", F.explode(both).alias("w")).select(
+        "item_id", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h")
+    )
     sought = stored(sought, f"{work}/sought")
 
     key = [
@@ -143,10 +161,13 @@ def find_leaks(
         F.xxhash64(F.col(text), F.length(F.col(text))).alias("text_key"),
     ]
     forms = _tokens(docs, text, *key)
-    words = forms.select("doc_id", "text_key", _words(F.col("template")).alias("words"))
-    windows = _windows(F.col("words"), WINDOW, STRIDE)
-    for n in sorted(short):
-        windows = F.concat(windows, _windows(F.col("words"), n, 1))
+    ways = [(WINDOW, STRIDE), *((n, 1) for n in sorted(short))]
+    words = forms.select(
+        "doc_id",
+        "text_key",
+        F.explode(F.array("template", F.translate("raw", NAME, ""))).alias("form"),
+    ).select("doc_id", "text_key", _words(F.col("form")).alias("words"))
+    windows = F.concat(*(_windows(F.col("words"), n, step) for n, step in ways))
     cut = words.select("doc_id", "text_key", F.explode(windows).alias("w")).select(
         "doc_id", "text_key", F.col("w.pos").alias("pos"), F.col("w.h").alias("h")
     )
@@ -159,9 +180,11 @@ def find_leaks(
 
     found = alignments.select("doc_id", "text_key").distinct()
     same_doc = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-    body = _tokens(docs, text, *key)
-    body = body.join(found, same_doc(body, found), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    body = body.select(
+    # whole texts of the met documents only, so that no other text is put in form a second time
+    texts = docs.select(*key, F.col(text).alias("text"))
+    texts = texts.join(found, same_doc(texts, found), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    texts = stored(texts, f"{work}/met")
+    body = _tokens(texts, "text", F.col("doc_id"), F.col("text_key")).select(
         "doc_id",
         "text_key",
         _words(F.col("raw")).alias("doc_raw"),
@@ -219,11 +242,11 @@ def find_leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a leaked item."""
-    leaks = find_leaks(docs, benchmark).select(
-        F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")
-    ).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (
-        F.xxhash64(F.col("text"), F.length("text")) == F.col("leak_key")
+    """``docs``, with all its columns, without the documents that hold a leaked item."""
+    leaks = find_leaks(docs, benchmark).select("doc_id", "text_key").distinct()
+    d, k = docs.alias("d"), leaks.alias("k")
+    text = F.col("d.text")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (
+        F.xxhash64(text, F.length(text)) == F.col("k.text_key")
     )
-    return docs.join(leaks, same, "left_anti")
+    return d.join(k, same, "left_anti")

@@ -328,6 +328,30 @@ def test_verbatim_leaks_whatever_their_slots(spark):
     }
 
 
+def test_copies_are_found_whatever_looks_like_a_name(spark):
+    """Against brute force: every text with a whole item, word for word, at any place."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["Which", "river", "Paris", "runs", "9", "17", "km", "old", "the", "Town"]
+    draw = lambda n: " ".join(rng.choice(vocabulary, n))
+    bench = ["Which river runs through the old town", *(draw(n) for n in (5, 7, 9, 11, 12, 14, 20))]
+    bench.append(" ".join(map(str, range(1, 13))))
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id bigint, text string")
+    texts = [" ".join(map(str, range(500, 800)))]  # numbers only: no copy
+    for k in range(80):
+        middle = bench[k % len(bench)] if k % 3 else draw(8)
+        texts.append(f"{draw(int(rng.integers(0, 9)))} {middle} {draw(int(rng.integers(0, 9)))}")
+    docs = rows(spark, texts).selectExpr("*", "1 AS leak_id", "2 AS leak_key", "3 AS d")
+    found = templates.find_leaks(docs, items).collect()
+    same = {(r.doc_id, r.item_id) for r in found if r.same_slots}
+    flat = [f" {' '.join(t.lower().split())} " for t in texts]
+    want = {(d, i) for d, t in enumerate(flat) for i, b in enumerate(bench) if f" {b.lower()} " in t}
+    assert len(want) > 40 and want <= same
+    assert not any(r.doc_id == 0 for r in found)
+    kept = templates.without_leaks(docs, items)
+    assert kept.columns == docs.columns
+    assert not {r.doc_id for r in kept.collect()} & {d for d, _ in want}
+
+
 def test_every_planted_passage_is_found(spark, docs, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     flat = lambda t: " ".join((t or "").lower().split())
