@@ -21,6 +21,7 @@ from lintlake.plans.catalog import bundled_rules, documented_settimeout
 from lintlake.sources import files as fs
 from lintlake.sources import rules as R
 from lintlake.sources import sarif
+from lintlake.sources.pages import PageTable
 from lintlake.sources.storage import shared_folder, stored
 from lintlake.sources.versioned import KeyedTable
 from lintlake.streaming import stream as st
@@ -651,6 +652,32 @@ def f_findings_severity(spark, sf):
     return D.findings_page(*_warehouse(spark, sf), org_id=7, severity="warning")
 
 
+def _page_table(spark, sf) -> PageTable:
+    """All findings with their context, in two batches."""
+    rows = D.findings_with_context(*_warehouse(spark, sf))
+    types = dict(rows.dtypes)
+    names = ("org_id", "id", "severity", "rule_id", "file_path", "line_number", "message", "repo", "scan_at")
+    schema = ", ".join(f"{n} {types[n]}" for n in names)
+    table = PageTable(spark, shared_folder(spark), schema, rows_per_file=10_000)
+    table.append(rows.where("id % 3 <> 0"), 0)
+    table.append(rows.where("id % 3 = 0"), 1)
+    return table
+
+
+@query("findings_page_clustered", ORACLE["findings_page"])
+def findings_page_clustered(spark, sf):
+    """The page from a table laid out for it, over two batches."""
+    return _page_table(spark, sf).page(org_id=7)
+
+
+@query("findings_page_compacted", ORACLE["f_findings_severity"])
+def findings_page_compacted(spark, sf):
+    """One severity's page after both batches were made one."""
+    table = _page_table(spark, sf)
+    table.compact(2)
+    return table.page(org_id=7, severity="warning")
+
+
 @query("f_findings_severity_empty", O.STAR + f"SELECT {O.PAGE_COLUMNS} FROM page WHERE severity = ''")
 def f_findings_severity_empty(spark, sf):
     return D.findings_page(*_warehouse(spark, sf), severity="")
