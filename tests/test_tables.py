@@ -363,5 +363,10 @@ def test_registered_query_equals_its_sql(spark, sf, name):
     assert sorted(map(repr, rows)) == sorted(map(repr, expected))
 
 
+@pytest.mark.parametrize("name", ["findings_page_clustered", "findings_page_compacted"])
+def test_page_tables_equal_their_sql(spark, sf, name):
+    test_registered_query_equals_its_sql(spark, sf, name)
+
+
 def test_every_query_has_expected_rows():
     assert set(q.QUERIES) == set(q.ORACLE)
