@@ -364,3 +364,19 @@ def test_a_folder_of_rule_files_is_one_set(spark, tmp_path):
             " query: {shape: member_call, where: [], report: [prop]}}]\n"
         )
     assert [r.id for r in load_rules(spark, str(tmp_path))] == ["a", "b", "c"]
+
+
+def test_rule_files_as_a_table(spark, tmp_path):
+    from lintlake.sources.rules import load_rules, read_rules
+
+    one = "- {id: %s, name: n, severity: note, language: python, message: m, query: {shape: call, where: [{capture: fn, op: eq, value: x}]}, metadata: {a: [1]}}\n"
+    for name, ids in (("b.yaml", "cd"), ("a.yaml", "ab"), ("c.yaml", "e")):
+        (tmp_path / name).write_text("rules:\n" + "".join(one % x for x in ids))
+    want = load_rules(spark, str(tmp_path)).to_df(spark)
+    read = read_rules(spark, str(tmp_path))
+    assert read.schema == want.schema
+    assert sorted(read.collect()) == sorted(want.collect())
+    assert [r.id for r in read.orderBy("rule_no").collect()] == list("abcde")
+    (tmp_path / "d.yaml").write_text("rules:\n- {id: x}\n")
+    with pytest.raises(Exception, match="missing field"):
+        read_rules(spark, str(tmp_path))
