@@ -21,6 +21,7 @@ from lintlake.operators import shapes as sh
 from lintlake.operators import tokens as tk
 from lintlake.operators.shapes import Condition
 from lintlake.sources.rules import Rule, RuleSet
+from lintlake.sources.storage import shared_folder, stored
 
 _BLOCK = 128
 _POINTS = "array<struct<line:int,col:int>>"
@@ -543,19 +544,29 @@ def _local(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def _named(keyed: DataFrame, column: str) -> list[tuple[str, str, str]]:
+    """(language, shape, capture) of the captures that a column of the rules names."""
+    rows = keyed.select("language", "shape", F.explode(column).alias("capture")).distinct()
+    return [tuple(r) for r in rows.collect()]
+
+
 def _prepared(
     rules: RuleSet | DataFrame, spark: SparkSession
-) -> tuple[DataFrame, DataFrame, Wanted, frozenset[str] | None]:
+) -> tuple[DataFrame, DataFrame, Wanted, frozenset[str]]:
     """(usable rules with keys, searches, shapes to look for, captures needed).
 
     A rule set narrows the search by its own texts.  Of a rule table, which may be of any
-    size, one row per known shape and language comes to the driver.
+    size, one row per known shape, language and capture comes to the driver; the rules that can
+    run and their searches are worked out once and kept below the shared folder.
     """
     if isinstance(rules, DataFrame):
-        keyed = _with_keys(rules)
+        folder = shared_folder(spark)
+        keyed = stored(_with_keys(rules), f"{folder}/rules")
+        searches = stored(_searches(keyed), f"{folder}/searches")
         used = keyed.select("language", "shape").distinct().collect()
         wanted = {(r["language"], r["shape"]): [()] for r in used}
-        return keyed, _searches(keyed), wanted, None
+        needs = frozenset(c for _, _, c in [*_named(keyed, "where.capture"), *_named(keyed, "report")])
+        return keyed, searches, wanted, needs
     keyed = _local(_with_keys(rules.to_df(spark)))
     numbers = {r["rule_no"] for r in keyed.select("rule_no").collect()}
     usable = [r for r in rules if r.rule_no in numbers]
@@ -601,19 +612,63 @@ def scan_all(
     return _to_issues(hits.join(keyed.select("key", *_RULE), "key"), keep)
 
 
+def _kinds(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``kind, language, shape, caps, path, n``: equal matches of a file counted as one.
+
+    Matches are of one kind if they have the same captures and the same texts in those that
+    some rule tests, so the rules can't tell them apart.
+    """
+    tested = ["/".join(t) for t in _named(keyed, "where.capture")]
+
+    def seen(c: Column) -> Column:
+        place = F.concat_ws("/", F.col("language"), F.col("shape"), c["name"])
+        return F.struct(c["name"].alias("name"), F.when(place.isin(tested), c["text"]).alias("text"))
+
+    row = ["language", "shape", "caps"]
+    rows = found.select("path", "language", "shape", F.transform("caps", seen).alias("caps"))
+    rows = rows.groupBy("path", *row).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("kind", F.sha2(F.to_json(F.struct(*row)), 256))
+
+
+def _answered(kinds: DataFrame, searches: DataFrame) -> DataFrame:
+    """``key, kind, issues``: the kinds of match that each search accepts, with the issues that
+    one such match gives."""
+    rows = kinds.select("kind", "language", "shape", "caps").distinct()
+    by = rows.select("*", F.explode(_met_by(searches)).alias("by"))
+    met = by.select("*", "by.capture", "by.text").join(searches, _ON)
+    n = F.size(F.filter("caps", lambda c: F.array_contains("report", c["name"])))
+    hits = met.where(F.forall("rest", _holds)).groupBy("key", "kind").agg(F.sum(n).alias("issues"))
+    return hits.where("issues > 0")
+
+
 def rule_issue_counts(corpus: DataFrame, rules: RuleSet | DataFrame) -> DataFrame:
     """Issues and files per rule with any (``rule_no, rule_id, severity, issues, files``).
 
-    Counted per search before the rules are joined, so rules that look for the same do not
+    Rules meet kinds of matches, see :func:`_kinds`, and searches that accept the same kinds are
+    counted once, so neither rules that look for the same nor different rules that find the same
     multiply the matches.
     """
-    hits, keyed = _found(corpus, rules, ())
-    n = F.size(F.filter("caps", lambda c: F.array_contains("report", c["name"])))
-    per_file = hits.groupBy("key", "path").agg(F.sum(n).alias("n")).where("n > 0")
-    counts = per_file.groupBy("key").agg(
+    spark = corpus.sparkSession
+    keyed, searches, wanted, needs = _prepared(rules, spark)
+    folder = shared_folder(spark)
+    kinds = stored(_kinds(facts_of(corpus, wanted, (), needs), keyed), f"{folder}/kinds")
+    hits = stored(_answered(kinds, searches), f"{folder}/hits")
+    # a set of (kind, issues) as 128 bits and its size
+    marks = ["a", "b", "kinds"]
+    sets = hits.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("kind", "issues")).alias("a"),
+        F.bit_xor(F.xxhash64("issues", F.lit("b"), "kind")).alias("b"),
+        F.count(F.lit(1)).alias("kinds"),
+    )
+    firsts = sets.groupBy(*marks).agg(F.min("key").alias("first"))
+    ones = hits.join(firsts.select(F.col("first").alias("key")), "key", "left_semi")
+    issues = F.sum(F.col("issues") * F.col("n")).alias("n")
+    per_file = ones.join(kinds.select("kind", "path", "n"), "kind").groupBy("key", "path").agg(issues)
+    counts = per_file.groupBy(F.col("key").alias("first")).agg(
         F.sum("n").alias("issues"), F.count(F.lit(1)).alias("files")
     )
-    return counts.join(keyed, "key").select("rule_no", "rule_id", "severity", "issues", "files")
+    of_key = sets.join(firsts, marks).select("key", "first").join(counts, "first")
+    return of_key.join(keyed, "key").select("rule_no", "rule_id", "severity", "issues", "files")
 
 
 def scan_rule(corpus: DataFrame, rule: Rule) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,33 +25,44 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # --- corpora -------------------------------------------------------------------------
 
 
-def code_path(lang: str) -> Column:
+def _event_files(spark: SparkSession, sf: str) -> DataFrame:
+    """``name, ids``: the events of each file in order; only their ids are moved.
+
+    The texts are many times as large as the ids, so Spark may not merge partitions by those.
+    """
     block = F.floor(F.col("event_id") / FILE_IDS).cast("string")
-    return F.concat(
-        F.lit("user_"), F.col("user_id").cast("string"), F.lit("/"), block, F.lit(f".{EXTENSION[lang]}")
-    )
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit("/"), block)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = table(spark, sf, "events").select(name.alias("name"), "event_id")
+    ids = F.sort_array(F.collect_list("event_id"))
+    return events.repartition(parts, "name").groupBy("name").agg(ids.alias("ids"))
 
 
-def code_corpus(spark: SparkSession, sf: str, lang: str) -> DataFrame:
-    """Files written from events: the lines of event n are those of template n % count."""
+def _written(lang: str) -> Column:
+    """``path, src`` of an event file in a language: the lines of event n are those of template
+    n % count."""
     templates = TEMPLATES[lang]
-    event = F.col("event_id").cast("string")
-    texts = F.array(*[F.replace(F.lit("\n".join(t.lines)), F.lit("{id}"), event) for t in templates])
-    text = F.get(texts, (F.col("event_id") % len(templates)).cast("int"))
-    lines = table(spark, sf, "events").select(
-        code_path(lang).alias("path"), F.struct("event_id", text.alias("t")).alias("line")
-    )
-    src = F.array_join(F.array_sort(F.collect_list("line"))["t"], "\n")
-    files = lines.groupBy("path").agg(src.alias("src"))
-    return table_corpus(files, F.col("path"), F.col("src"))
+    texts = F.array(*[F.lit("\n".join(t.lines)) for t in templates])
+
+    def lines(event: Column) -> Column:
+        text = F.get(texts, (event % len(templates)).cast("int"))
+        return F.replace(text, F.lit("{id}"), event.cast("string"))
+
+    src = F.array_join(F.transform("ids", lines), "\n")
+    return F.struct(F.concat("name", F.lit(f".{EXTENSION[lang]}")).alias("path"), src.alias("src"))
+
+
+def _code(spark: SparkSession, sf: str, languages: Sequence[str]) -> DataFrame:
+    files = F.explode(F.array(*[_written(lang) for lang in languages])).alias("file")
+    return table_corpus(_event_files(spark, sf).select(files), F.col("file.path"), F.col("file.src"))
+
+
+def code_corpus(spark: SparkSession, sf: str, lang: str) -> DataFrame:
+    return _code(spark, sf, [lang])
 
 
 def all_code(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for lang in schemas.LANGUAGES:
-        part = code_corpus(spark, sf, lang)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _code(spark, sf, schemas.LANGUAGES)
 
 
 def page_corpus(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,3 +54,19 @@ def test_required_texts(spark):
     given = {"a+bcd": "bcd", "foo\\.bar": "foo.bar", "(?i)sql": None, "ab?cde": "cde", "[a[b]]cde": None, "a|b": None}
     df = spark.createDataFrame([(x,) for x in given], "v string")
     assert dict(df.select("v", sc._required(F.col("v"))).collect()) == given
+
+
+def test_counts_of_regexes_that_find_the_same(spark, sf):
+    """Rules meet kinds of matches, not matches, and the counts are those of the issues."""
+    corpus = V.code_corpus(spark, sf, "javascript").unionByName(V.code_corpus(spark, sf, "python"))
+    some = [*REGEXES, *(f"^eval(x{n})?$" for n in range(50))]
+    table = rules(spark, some)
+    counts = sc.rule_issue_counts(corpus, table)
+    issues = sc.scan_all(corpus, table).groupBy("rule_no", "rule_id", "severity")
+    want = issues.agg(F.count("*").alias("issues"), F.countDistinct("file_path").alias("files"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+    keyed, searches, wanted, needs = sc._prepared(table, spark)
+    kinds = sc._kinds(sc.facts_of(corpus, wanted, (), needs), keyed)
+    names = kinds.select("language", "caps").distinct().count()
+    assert names < 20 < kinds.agg(F.sum("n")).first()[0]
+    assert sc._answered(kinds, searches).count() <= names * len(some)
