@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm import linedup, packing, simhash, templates, toxicity
+from lintlake.llm.graph import components
 from lintlake.sources.storage import discard, shared_folder, stored
 
 
@@ -26,12 +27,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: the one with the smallest id.
 
-    Near copies have 0.8 of their five-word shingles in common.  Documents without words are no
-    copies of each other, and rows without an id can't be named, so both stay.
+    Near copies have SimHash fingerprints that differ in 2 bits at most, found by the pivot
+    distance table, or 0.8 of their five-word shingles in common; a group follows links of both
+    kinds.  Documents without words are no copies of each other, and rows without an id can't be
+    named, so both stay.
     """
     folder = shared_folder(spark)
-    found = simhash.similar_texts(docs, folder=folder)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    prints = simhash.near_duplicates(worded).select("doc_id", "component_id")
+    found = simhash.similar_texts(docs, folder=folder).select("doc_id", "component_id")
+    links = prints.union(found).toDF("a", "b")
+    joined = components(links, f"{folder}/joined")
+    gone = joined.where("node <> root").select(F.col("node").alias("doc_id"))
     gone = stored(gone, f"{shared_folder(spark)}/gone")
     discard(spark, folder)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

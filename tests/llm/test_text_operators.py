@@ -394,3 +394,18 @@ def test_pipeline_stages_keep_columns(spark, sf):
     found = simhash.similar_texts(done).where("doc_id = component_id")
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in found.collect()}
     assert kept.where("text <> ''").groupBy("text").count().where("count > 1").isEmpty()
+
+
+def test_copies_by_fingerprint_go_as_well(spark, sf):
+    """A line that fills two texts makes their fingerprints near, though most shingles differ."""
+    line = "the quick brown fox jumps over one lazy dog and runs "
+    a, b = (line * 80 + " ".join(f"{x}{n}" for n in range(12)) for x in "ab")
+    prints = [simhash.fingerprint(t.split()) for t in (a.encode(), b.encode())]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.MAX_BITS
+    shingles = [set(simhash.word_hashes(t.encode().split())) for t in (a, b)]
+    assert len(shingles[0] & shingles[1]) < simhash.SIMILARITY * len(shingles[0] | shingles[1])
+    near = " ".join(f"w{n}" for n in range(100))
+    rows = [(5, a), (3, b), (7, near), (8, near + " z"), (9, ""), (10, None), (11, " "), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 7, 9, 10, 11]
