@@ -109,3 +109,23 @@ def test_state_of_an_empty_stream(spark, rows):
     schema = "repo_id bigint, created_at int, id bigint, passed boolean, findings_count bigint"
     table = st.repo_state_stream(arriving(spark, folder, 0, rows, schema), f"{folder}/state", buckets=4)
     assert [tuple(r) for r in table.read().collect()] == rows
+
+
+def test_scan_into_reads_the_corpus_twice(spark):
+    """Once for the files to scan and once for those that are there now."""
+    from lintlake.operators import incremental as inc
+    from lintlake.plans.catalog import bundled_rules
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"{n}.js", "javascript", f"eval({n})", str(n)) for n in range(20)]
+    corpus = spark.createDataFrame(rows, schemas.CORPUS)
+    corpus = corpus.mapInArrow(counted, corpus.schema)
+    table = KeyedTable(spark, shared_folder(spark), inc.CACHE, ("path",))
+    assert inc.scan_into(corpus, bundled_rules(), table, 0, by=("path",)).count() >= 20
+    assert read.value <= 40
