@@ -409,3 +409,18 @@ def test_copies_by_fingerprint_go_as_well(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = corpus_pipeline.drop_copies(spark, docs, sf)
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 7, 9, 10, 11]
+
+
+def test_brown_texts_are_cut_into_words_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(brown, "BLOCK_CHARS", 2000)  # many blocks, of which texts are part
+    coded = brown._coded(docs, "doc_id", "text").collect()
+    listed, texts = {}, {r.doc_id: r.text for r in docs.collect()}
+    for r in coded:
+        if r.word is not None:
+            listed.setdefault(r.block, {})[r.place] = bytes(r.word)
+    assert len(listed) > 1 and all(sorted(w) == list(range(len(w))) for w in listed.values())
+    seen = [r for r in coded if r.ids is not None]
+    for r in seen:
+        at = np.frombuffer(r.ids, dtype=np.int32)
+        assert [listed[r.block][i] for i in at] == brown.tokens_of(texts[r.doc_id])
+    assert sorted(r.doc_id for r in seen) == sorted(texts)
