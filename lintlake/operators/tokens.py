@@ -14,7 +14,10 @@ a very long literal cannot overflow the stack.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +139,7 @@ def last_line_bytes(text: Column) -> Column:
 
 LONG_BYTES = 4 << 20  # a longer text is cut into pieces
 PIECE_TOKENS = 4096
+_ROWS = 100_000  # token rows that leave a task at once
 
 
 def _pieces(src: Column, language: str, tokens: int) -> Column:
@@ -149,16 +153,57 @@ def _pieces(src: Column, language: str, tokens: int) -> Column:
     return F.regexp_extract_all(src, F.lit(piece), F.lit(0))
 
 
-def _numbered(pieces: DataFrame, by: list[str]) -> DataFrame:
-    """The tokens of each piece with what comes before them in it: tokens, bytes, line ends
-    (``nl``) and the byte after the last of these (``line_at``)."""
-    language = F.col("language")
-    cut = None
+def _cut(cutter: Callable[[str], Column]) -> Column:
+    """What ``cutter`` makes of a text in its language."""
+    language, out = F.col("language"), None
     for name in _TOKEN:
-        tokens = code_tokens(F.col("piece"), name)
-        cut = F.when(language == name, tokens) if cut is None else cut.when(language == name, tokens)
-    rows = pieces.select(*by, "language", F.posexplode(cut).alias("k", "text"))
-    return _before(rows.withColumns(_measures("text")), by, "k")
+        test = language == name
+        out = F.when(test, cutter(name)) if out is None else out.when(test, cutter(name))
+    return out
+
+
+def _numbered(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """The tokens of each piece with what comes before them in it: tokens (``k``), bytes
+    (``at``), line ends (``nl``) and the byte after the last of these (``line_at``).
+
+    A piece's tokens lie one after the other in its batch, so all of it is read off their
+    places there: no row is sorted or moved to another task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, keys = batch.column(batch.num_columns - 1), batch.columns[:-1]
+            first = tokens.offsets.to_numpy()
+            values = tokens.values.cast(pa.large_binary())
+            size = len(values) + 1
+            begin = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + size]
+            body = values.buffers()[2]
+            ends = np.flatnonzero(np.frombuffer(body, np.uint8) == 10) if body else np.zeros(0, np.int64)
+            piece = np.repeat(np.arange(len(tokens)), np.diff(first))
+            for i in range(0, len(piece), _ROWS):
+                of = piece[i : i + _ROWS]
+                t = np.arange(first[0] + i, first[0] + i + len(of))
+                start, here = begin[first[of]], begin[t]
+                before = np.searchsorted(ends, here)
+                nl = before - np.searchsorted(ends, start)
+                line_at = np.append(ends, -1)[before - 1] + 1 - start
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(c.take(pa.array(of)) for c in keys),
+                        pa.array((t - first[of]).astype(np.int64)),
+                        tokens.values.slice(first[0] + i, len(of)),
+                        pa.array(here - start),
+                        pa.array(nl.astype(np.int64)),
+                        pa.array(line_at, mask=nl == 0),
+                    ],
+                    names=[*by, "language", "k", "text", "at", "nl", "line_at"],
+                )
+
+    types = dict(pieces.dtypes)
+    keys = ", ".join(f"{c} {types[c]}" for c in (*by, "language"))
+    cut = _cut(lambda name: code_tokens(F.col("piece"), name)).alias("tokens")
+    schema = f"{keys}, k bigint, text string, at bigint, nl bigint, line_at bigint"
+    return pieces.select(*by, "language", cut).mapInArrow(run, schema)
 
 
 def _measures(text: str) -> dict[str, Column]:
@@ -195,27 +240,24 @@ def token_rows(
     columns = ["path", "language", "token_no", "at", "line", "col", "text"]
 
     short = code.where(~is_long).select("path", "language", F.col("src").alias("piece"))
-    rows = _numbered(short.repartition("path"), ["path"])
-    short = rows.select(
+    short = _numbered(short.repartition("path"), ["path"]).select(
         "path",
         "language",
-        F.col("k").cast("bigint").alias("token_no"),
+        F.col("k").alias("token_no"),
         "at",
         (F.col("nl") + 1).alias("line"),
         (F.col("at") - F.coalesce("line_at", F.lit(0)) + 1).alias("col"),
         "text",
     )
 
-    cut = None
-    for name in _TOKEN:
-        pieces, test = _pieces(F.col("src"), name, piece_tokens), F.col("language") == name
-        cut = F.when(test, pieces) if cut is None else cut.when(test, pieces)
+    cut = _cut(lambda name: _pieces(F.col("src"), name, piece_tokens))
     pieces = code.where(is_long).select("path", "language", F.posexplode(cut).alias("p", "piece"))
     pieces = stored(pieces.repartition("path", "p"), f"{shared_folder(corpus.sparkSession)}/pieces")
-    rows = _numbered(pieces.repartition("path", "p"), ["path", "p"])
-    sizes = rows.groupBy("path", "p").agg(F.count(F.lit(1)).alias("tokens"))
-    totals = pieces.select("path", "p", *[c.alias(n) for n, c in _measures("piece").items()])
-    totals = _before(totals.join(sizes, ["path", "p"]), ["path"], "p")
+    tokens = F.size(_cut(lambda name: code_tokens(F.col("piece"), name))).cast("bigint")
+    totals = pieces.select(
+        "path", "p", tokens.alias("tokens"), *[c.alias(n) for n, c in _measures("piece").items()]
+    )
+    totals = _before(totals, ["path"], "p")
     earlier = Window.partitionBy("path").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         "path",
@@ -225,7 +267,9 @@ def token_rows(
         F.col("nl").alias("p_nl"),
         F.col("line_at").alias("p_line_at"),
     )
-    rows = rows.join(totals, ["path", "p"])
+    # totals meet the pieces, which are far fewer and smaller than the rows of their tokens
+    dealt = pieces.repartition("path", "p").join(totals, ["path", "p"])
+    rows = _numbered(dealt, ["path", "p_no", "p_at", "p_nl", "p_line_at"])
     at = F.col("p_at") + F.col("at")
     line_at = F.coalesce(F.col("p_at") + F.col("line_at"), F.col("p_line_at"), F.lit(0))
     long = rows.select(

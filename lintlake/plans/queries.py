@@ -250,15 +250,18 @@ def facts_token_rows(spark, sf):
     """Tokens as rows; texts over 2,000 bytes are cut into pieces, which many tasks read."""
     rows = tk.token_rows(V.doc_corpus(spark, sf), long_bytes=2000, piece_tokens=64)
     own = F.octet_length("text")
-    last = F.max(F.struct("token_no", "line", "text"))
     files = rows.groupBy("path").agg(
-        F.sum(own).alias("bytes"), F.max(F.col("at") + own).alias("end"), F.count(F.lit(1)).alias("n"), last.alias("last")
+        F.sum(own).alias("bytes"),
+        F.max(F.col("at") + own).alias("end"),
+        F.count(F.lit(1)).alias("n"),
+        F.max("token_no").alias("last"),
+        F.max(F.col("line") + tk.newlines(F.col("text"))).alias("lines"),  # numbers only: rows are not sorted
     )
     return files.select(
         "path",
         "bytes",
-        (F.col("last.line") + tk.newlines(F.col("last.text"))).cast("bigint").alias("lines"),
-        ((F.col("n") == F.col("last.token_no") + 1) & (F.col("end") == F.col("bytes"))).alias("gapless"),
+        F.col("lines").cast("bigint").alias("lines"),
+        ((F.col("n") == F.col("last") + 1) & (F.col("end") == F.col("bytes"))).alias("gapless"),
     )
 
 

@@ -48,3 +48,11 @@ def test_a_long_file_is_many_tasks(spark):
     assert len(tasks) > 1
     last = rows.orderBy("token_no", ascending=False).first()
     assert (last.line, last.col, last.at) == (20_000, 15, 21 * 20_000 - 7)
+
+
+def test_token_rows_are_not_sorted(spark):
+    corpus = spark.createDataFrame([("a.js", "javascript", "let a = 1;", "")], schemas.CORPUS)
+    found = tk.token_rows(corpus, long_bytes=4, piece_tokens=2)._jdf.queryExecution().optimizedPlan().toString()
+    # the only windows left are those over the pieces of a file, none over tokens
+    assert "Window" in found and not any("text#" in x for x in found.splitlines() if "Window" in x)
+    assert found.count("Window") <= 4 and found.count("Sort ") == 0
