@@ -99,7 +99,7 @@ def ingest_scans(
     # a repository that is already there keeps its id
     there = repos.select("org_id", F.col("github_repo").alias("repo"), F.col("id").alias("old_id"))
     levels = F.array_distinct("results.severity")
-    scans = (
+    judged = (
         good.select(
             "scan_id",
             "org_id",
@@ -112,21 +112,21 @@ def ingest_scans(
             F.size("results").cast("bigint").alias("findings_count"),
         )
         .join(policies, "org_id")
-        .join(there, ["org_id", "repo"], "left")
-        .select(
-            F.col("scan_id").alias("id"),
-            F.coalesce(
-                F.col("old_id").cast("string"), repo_key(F.col("org_id"), F.col("repo"))
-            ).alias("repo_id"),
-            "org_id",
-            "repo",
-            "commit_sha",
-            "branch",
-            F.col("sarif").alias("sarif_json"),
-            policy.passes(F.col("levels"), F.col("fail_on_severity")).alias("passed"),
-            "findings_count",
-            F.col("submitted_at").alias("created_at"),
-        )
+        .withColumn("passed", policy.passes(F.col("levels"), F.col("fail_on_severity")))
+    )
+    scans = judged.join(there, ["org_id", "repo"], "left").select(
+        F.col("scan_id").alias("id"),
+        F.coalesce(
+            F.col("old_id").cast("string"), repo_key(F.col("org_id"), F.col("repo"))
+        ).alias("repo_id"),
+        "org_id",
+        "repo",
+        "commit_sha",
+        "branch",
+        F.col("sarif").alias("sarif_json"),
+        "passed",
+        "findings_count",
+        F.col("submitted_at").alias("created_at"),
     )
     findings = sarif.findings_of(good, "scan_id", "org_id").select(
         F.concat_ws(
@@ -147,8 +147,9 @@ def ingest_scans(
         repos=repo_upsert(repos, good.select("org_id", F.col("repo").alias("github_repo"))),
         scans=scans,
         findings=findings,
-        outbox=outbox(scans),
-        responses=policy.responses(scans.withColumnRenamed("id", "scan_id")),
+        # what a submitter is told does not need the repository's id, so no row is moved for it
+        outbox=outbox(judged),
+        responses=policy.responses(judged),
         quarantine=sarif.quarantined(parsed),
     )
 
