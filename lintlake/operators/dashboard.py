@@ -13,9 +13,9 @@ def of_tenant(repos: DataFrame, org_id: int | str) -> DataFrame:
     return repos.where(F.col("org_id") == F.lit(org_id))
 
 
-def _findings_of_tenant(findings: DataFrame, org_id: int | str) -> DataFrame:
-    """Where findings name their organization, only its partitions are read."""
-    return of_tenant(findings, org_id) if "org_id" in findings.columns else findings
+def _own(rows: DataFrame, org_id: int | str) -> DataFrame:
+    """Where findings or scans name their organization, only its rows are read."""
+    return of_tenant(rows, org_id) if "org_id" in rows.columns else rows
 
 
 def latest_scans(scans: DataFrame) -> DataFrame:
@@ -62,8 +62,8 @@ def repo_overview(
     if org_id is not None:
         repos = of_tenant(repos, org_id)
         own = repos.select(F.col("id").alias("repo_id"))
-        scans = scans.join(own, "repo_id", "left_semi")
-        findings = _findings_of_tenant(findings, org_id)
+        scans = _own(scans, org_id).join(own, "repo_id", "left_semi")
+        findings = _own(findings, org_id)
     latest = latest_scan_counts(scans, findings)
     return repos.join(latest, repos["id"] == latest["repo_id"], "left").select(
         F.col("github_repo").alias("repo"),
@@ -115,6 +115,6 @@ def findings_page(
 ) -> DataFrame:
     if org_id is not None:
         repos = of_tenant(repos, org_id)
-        findings = _findings_of_tenant(findings, org_id)
+        scans, findings = _own(scans, org_id), _own(findings, org_id)
     rows = findings_with_context(with_severity(findings, severity), scans, repos)
     return top_findings(rows.select(*_PAGE), limit)

@@ -888,11 +888,10 @@ def j_rule_level(spark, sf):
     return rows.groupBy("submission_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ingested(spark, sf) -> ing.Ingested:
+def _ingested(spark, sf, submissions: DataFrame | None = None) -> ing.Ingested:
     old = V.repos(spark, sf).where("id % 3 = 0")
-    return ing.ingest_scans(
-        V.submissions(spark, sf), V.api_keys(spark, sf), V.orgs(spark, sf), old
-    )
+    arrived = V.submissions(spark, sf) if submissions is None else submissions
+    return ing.ingest_scans(arrived, V.api_keys(spark, sf), V.orgs(spark, sf), old)
 
 
 @query("ingest_scans", O.STAR + "SELECT scan_id, passed, findings_count, CASE WHEN passed THEN 'passed' ELSE 'failed' END AS status FROM judged")
@@ -963,8 +962,11 @@ _PAGE_OF_INGESTED = (
     f"SELECT {_PAGE_OF_INGESTED} FROM ids ORDER BY severity_order, ids.created_at DESC, id DESC LIMIT 500",
 )
 def findings_page_ingested(spark, sf):
-    """The page over what ingest wrote: its ids sort by time of submission."""
-    got = _ingested(spark, sf)
+    """The page over what ingest wrote: its ids sort by time of submission.
+
+    Documents are made once; of them, each table parses those of the organization only.
+    """
+    got = _ingested(spark, sf, stored(V.submissions(spark, sf), shared_folder(spark)))
     old = V.repos(spark, sf).where("id % 3 = 0").withColumn("id", F.col("id").cast("string"))
     repos = old.unionByName(got.repos)
     return D.findings_page(got.findings, got.scans, repos, org_id=7)
