@@ -7,7 +7,7 @@ from lintlake.operators import ingest as ing
 from lintlake.plans import queries as q
 from lintlake.plans import views as V
 from lintlake.sources import sarif
-from lintlake.sources.storage import stored
+from lintlake.sources.storage import COMPRESSION, stored
 
 
 def test_a_finding_moves_once(spark, sf):
@@ -26,7 +26,7 @@ def test_rows_told_to_submitters_do_not_meet_repositories(spark, sf):
 
 
 def test_stored_tables_are_compressed_well(spark, tmp_path):
-    files = stored(spark.range(10), str(tmp_path / "t")).inputFiles()
+    files = stored(spark.range(10), str(tmp_path / "t"), COMPRESSION).inputFiles()
     assert all(f.endswith(".zstd.parquet") for f in files)
 
 
