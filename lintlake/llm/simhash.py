@@ -115,7 +115,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     as the key.  At two bits a group shares six bytes and can hold 65,536 fingerprints at the
     very most, whatever the input.  Within a group a pair is discarded if any of its pivot
     coordinates differ by more than ``max_bits`` (the triangle inequality), and the survivors
-    are verified; both are join conditions, so only links leave the join.
+    are verified; both are join conditions, so only links leave the join.  The join sorts
+    both sides: Spark sizes the exploded table as if it weren't, and would broadcast it.
     """
     pivots = pivot_table(fps.select("fp").where("fp is not null").distinct())
     byte = (1 << 64) - 1
@@ -127,7 +128,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     x, y = table.alias("x"), table.alias("y")
 
     found = x.join(
-        y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _near(max_bits)
+        y.hint("merge"),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _near(max_bits),
     )
     return found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 

@@ -70,6 +70,20 @@ def test_pivots_never_discard_a_link():
             assert abs(bin(a ^ p).count("1") - bin(b ^ p).count("1")) <= 2
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark, tmp_path):
+    """28 rows of a fingerprint, which Spark sizes as one."""
+    prints = [(i, xxhash.xxh64_intdigest(b"%d" % i) - (1 << 63)) for i in range(2000)]
+    given = spark.createDataFrame(prints, "doc_id bigint, fp bigint")
+    given.write.parquet(str(tmp_path / "prints"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "prints")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    a = prints[0][1]
+    near = spark.createDataFrame([(1, a), (2, a ^ 1), (3, a ^ 7)], "doc_id bigint, fp bigint")
+    ends = [{r.a, r.b} for r in simhash.links(near).collect()]
+    assert len(ends) == 2 and {a, a ^ 1} in ends and {a ^ 1, a ^ 7} in ends
+
+
 def edited(text, share, seed):
     rng = np.random.default_rng(seed)
     words = text.split()
