@@ -258,10 +258,11 @@ def texts_of(
 def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
     """The pairs ``a, b`` whose texts have that Jaccard similarity of COMPARED-word shingles.
 
-    ``texts`` has one ``node, text`` for each node; only texts in pairs are moved.
+    ``texts`` has one ``node, text`` for each node; only texts in pairs are moved.  They are not
+    broadcast: their size in a file is no bound of that in memory.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    moved = texts.join(ends, "node", "left_semi")
+    moved = texts.join(ends, "node", "left_semi").hint("merge")
     both = pairs.join(moved.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(
         moved.withColumnsRenamed({"node": "b", "text": "y"}), "b"
     )
@@ -324,7 +325,8 @@ def similar_texts(
     def compared(x: DataFrame, y: DataFrame, rest: Column, name: str) -> DataFrame:
         a, b = F.col("x.node"), F.col("y.node")
         mates = (F.col("x.key") == F.col("y.key")) & rest & _possible(min_similarity)
-        pairs = x.alias("x").join(y.alias("y"), mates)
+        # sorted: a file holds a node's pivots in far fewer bytes than memory, once for each key
+        pairs = x.alias("x").join(y.alias("y").hint("merge"), mates)
         pairs = pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
         pairs = stored(pairs, f"{folder}/pairs-{name}")
         links = stored(verified(pairs, texts, min_similarity), f"{folder}/links-{name}")
