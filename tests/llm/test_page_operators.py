@@ -104,6 +104,28 @@ def test_bounds_lose_no_pair():
     assert want <= set(zip(i.tolist(), j.tolist()))
 
 
+def test_vectors_move_in_few_bytes(spark, monkeypatch):
+    """Single precision where it is exact, once for each tile of the other side."""
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.normal(size=(9, 8)), 5, axis=0) + rng.normal(size=(45, 8)) * 0.2).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    given = [(8, i, 1, v.astype(float).tobytes()) for i, v in enumerate(x)]
+    given.append((8, 45, 1, (x[0].astype(float) + 1e-12).tobytes()))
+    dealt = spark.createDataFrame(given, "dim bigint, cls bigint, n bigint, vec binary")
+    moved = {r.cls: bytes(r.vec) for r in pcadedup._cells(dealt, {8: np.eye(8)}, 0.5).collect()}
+    for cls, vec in moved.items():
+        assert len(vec) == (32 if cls < 45 else 64)
+        assert pcadedup._unpacked([vec], 8)[0].tobytes() == given[cls][3]
+    assert pcadedup.tile_rows(10**7, 64) == 32_768 and pcadedup.tile_rows(100, 64) == pcadedup.TILE
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = [int(n) - 1 for n in (unit @ unit.T >= 0.9).sum(1)]
+    for tile, most in ((2, 512), (2, 1 << 20), (7, 64)):  # groups of several tiles, and of one
+        monkeypatch.setattr(pcadedup, "TILE", tile)
+        monkeypatch.setattr(pcadedup, "TILE_BYTES", most)
+        got = pcadedup.near_duplicates(df).orderBy("vec_id").collect()
+        assert [r.n_links for r in got] == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href="/a">Menu</a></ul></nav>
 <div class="ad">Buy &lt;now&gt;</div><article><h1>Head &amp; line</h1><p><b>One
