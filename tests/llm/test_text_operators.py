@@ -195,6 +195,32 @@ def test_brown_model_is_a_distribution():
     assert np.allclose((known + unseen) / 10**mass, 1)
 
 
+def test_brown_words_below_the_share_move_by_their_contexts(spark, monkeypatch):
+    """Words of one ending, so of one pool, that stand between different words."""
+    monkeypatch.setattr(brown, "OWN_SHARE", 16)
+    monkeypatch.setattr(brown, "SHARE_WORDS", 50)  # several shares
+    rng = np.random.default_rng(3)
+    near = [[f"l{x} {x}{i}zzz r{x}" for i in range(60) for _ in range(8)] for x in "ab"]
+    texts = [" ".join(rng.permutation(lines)[:400]) for lines in near for _ in range(4)]
+    asked = [f"l{x} {y}{i}zzz r{x}" for i in range(60) for x in "ab" for y in "ab"]
+    found = brown.score_texts(rows(spark, texts + asked)).collect()
+    score = [r.score for r in sorted(found, key=lambda r: r.doc_id)][len(texts) :]
+    base = [r.base_score for r in sorted(found, key=lambda r: r.doc_id)][len(texts) :]
+    gain = np.subtract(score, base).reshape(60, 2, 2)  # word, words beside it, kind of word
+    assert (gain[:, 0, 0] > gain[:, 0, 1] + 0.2).mean() > 0.9
+    assert (gain[:, 1, 1] > gain[:, 1, 0] + 0.2).mean() > 0.9
+
+
+def test_brown_shares_do_not_crowd():
+    """Words alike in all shares: each share leaves room for what the others move."""
+    k = brown.CLASSES + 1
+    table = np.full((k, k), 100.0)
+    home, beside = np.arange(320) % brown.CLASSES, np.zeros((320, k))
+    beside[:, 7] = 6
+    alone = brown.move_share(beside, beside, home, table, 1)
+    assert (brown.move_share(beside, beside, home, table, 50) != home).sum() <= (alone != home).sum()
+
+
 def test_brown_edge_rows(spark):
     df = rows(spark, [None, "", "a a b", "a a b", LONG])
     got = {r.doc_id: r for r in brown.score_texts(df).collect()}
